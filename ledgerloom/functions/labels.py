@@ -1,4 +1,7 @@
-"""Channel, merchant and rule-based category of a narration, as column expressions."""
+"""Channel, merchant and rule-based category of a narration, as column expressions.
+
+Word borders use ``(?U)``: an accented letter is part of a word on every Java version.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ def channel(description: Column) -> Column:
     """Payment channel: the first channel whose words occur in the narration."""
     chain = None
     for words, name in K.CHANNELS:
-        hit = description.rlike(rf"(?i)\b(?:{words})\b")
+        hit = description.rlike(rf"(?iU)\b(?:{words})\b")
         chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
     return chain.otherwise(F.lit(K.DEFAULT_CHANNEL))
 
@@ -24,7 +27,7 @@ def merchant(description: Column) -> Column:
     A match of two characters or less, or of digits only, gives way to the next pattern.
     """
     patterns = [
-        rf"(?i)\b({literals(K.MERCHANT_BRANDS)})\b",
+        rf"(?iU)\b({literals(K.MERCHANT_BRANDS)})\b",
         f"(?i){K.MERCHANT_UPI}",
         f"(?i){K.MERCHANT_PAYEE}",
     ]
@@ -63,7 +66,7 @@ def word_category(narration: Column, is_debit: Column, is_credit: Column) -> Col
     allowed = {"DEBIT": is_debit, "CREDIT": is_credit, "ANY": F.lit(True)}
     chain = None
     for category, direction, words in K.WORD_RULES:
-        hit = allowed[direction] & narration.rlike(rf"\b(?:{'|'.join(words)})\b")
+        hit = allowed[direction] & narration.rlike(rf"(?U)\b(?:{'|'.join(words)})\b")
         value = F.lit(category)
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain

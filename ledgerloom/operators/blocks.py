@@ -42,6 +42,7 @@ def scan(
     before: dict[str, Column] | None = None,
     whole: dict[str, Column] | None = None,
     facts: DataFrame | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Running values along ``order`` inside each key, computed block by block.
 
@@ -51,7 +52,8 @@ def scan(
     ``facts`` (one row per key) are attached to every row through the block table.
 
     The per-block totals are partial aggregates (one row per block leaves each map task).
-    Without ``whole`` and ``facts`` only keys with more than one block get a carry row.
+    Without ``whole`` and ``facts`` only keys with more than one block get a carry row; where
+    the rows know that already (``only``), the others are not even read for it.
     """
     sums, latest, before, whole = sums or {}, latest or {}, before or {}, whole or {}
     lasts = {**latest, **before}
@@ -60,7 +62,7 @@ def scan(
     up_to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     until_before = inside.rowsBetween(Window.unboundedPreceding, -1)
 
-    totals = df.groupBy(*keys, block).agg(
+    totals = (df if only is None else df.where(only)).groupBy(*keys, block).agg(
         *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()],
         *[F.sum(v).alias(f"_w_{n}") for n, v in whole.items()],
         *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_t_{n}") for n, v in lasts.items()],

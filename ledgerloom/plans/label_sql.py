@@ -5,6 +5,14 @@ from __future__ import annotations
 from ..functions import constants as K
 
 
+# RE2 word borders are ASCII only; these are the Unicode ones.
+EDGE_BEFORE, EDGE_AFTER = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+def whole_word(words: str) -> str:
+    return quoted(f"{EDGE_BEFORE}({words}){EDGE_AFTER}")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -28,7 +36,7 @@ def token_case(d: str, is_credit: str) -> str:
 def word_case(d: str, is_debit: str, is_credit: str) -> str:
     guard = {"DEBIT": f"{is_debit} and ", "CREDIT": f"{is_credit} and ", "ANY": ""}
     arms = [
-        f"when {guard[need]}regexp_matches({d}, {quoted(chr(92) + 'b(?:' + '|'.join(words) + ')' + chr(92) + 'b')})"
+        f"when {guard[need]}regexp_matches({d}, {whole_word('|'.join(words))})"
         f" then {quoted(category)}"
         for category, need, words in K.WORD_RULES
     ]
@@ -37,7 +45,7 @@ def word_case(d: str, is_debit: str, is_credit: str) -> str:
 
 def channel_case(d: str) -> str:
     arms = [
-        f"when regexp_matches({d}, {quoted(chr(92) + 'b(' + words + ')' + chr(92) + 'b')}, 'i') then {quoted(name)}"
+        f"when regexp_matches({d}, {whole_word(words)}, 'i') then {quoted(name)}"
         for words, name in K.CHANNELS
     ]
     return "case " + "\n ".join(arms) + f" else {quoted(K.DEFAULT_CHANNEL)} end"
