@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip
-
 MONEY = "decimal(18,2)"
 
 # Cell texts that mean "no amount".
@@ -17,30 +15,28 @@ def money(value) -> Column:
     return F.lit(value).cast(MONEY)
 
 
-def clean_amount(c: Column, *, read_rs_prefix: bool = False) -> Column:
-    """Signed amount of a money text; 0 when there is none.
+def clean_amount(c: str, *, read_rs_prefix: bool = False) -> Column:
+    """Signed amount of a money text column; 0 when there is none.
 
     Handles currency signs, thousands groups (western, Indian and European), accounting
     parentheses, minus signs and a trailing ``Dr``. ``Rs.`` leaves a stray dot, which makes
     the text unreadable (0); ``read_rs_prefix=True`` reads it instead.
     """
-    text = strip(F.coalesce(c, F.lit("")))
+    text = rf"regexp_replace(coalesce({c}, ''), r'(?U)^\s+|\s+$', '')"
     if read_rs_prefix:
-        text = F.regexp_replace(text, r"(?i)\brs\.?\s*(?=[\d(+\-.])", "")
-
-    def signed(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, r"(?U)[₹$€£\s]", "")
-        european = bare.rlike(r"^\d{1,3}(\.\d{3})+,\d{2}$") | bare.rlike(r"^\d+,\d{2}$")
-        plain = F.when(european, F.translate(bare, ",.", ".")).otherwise(
-            F.translate(bare, ",", "")
-        )
-        negative = raw.rlike(r"^\s*\(.*\)\s*$") | bare.contains("-") | bare.rlike("D[rR]$")
-        size = F.coalesce(
-            F.regexp_replace(plain, r"[^\d.]", "").try_cast(MONEY), money(0)
-        )
-        return F.when(negative, (-size).cast(MONEY)).otherwise(size)
-
-    return F.when(text.isin(EMPTY_AMOUNTS), money(0)).otherwise(let(text, signed))
+        text = rf"regexp_replace({text}, r'(?i)\brs\.?\s*(?=[\d(+\-.])', '')"
+    empty = ", ".join(f"'{t}'" for t in EMPTY_AMOUNTS)
+    european = r"b rlike r'^(\d{1,3}(\.\d{3})+|\d+),\d{2}$'"
+    digits = rf"regexp_replace(CASE WHEN {european} THEN translate(b, ',.', '.') ELSE translate(b, ',', '') END, r'[^\d.]', '')"
+    negative = r"t rlike r'^\(.*\)$' OR contains(b, '-') OR b rlike r'D[rR]$'"
+    signed = (
+        f"transform(array(coalesce(try_cast({digits} AS {MONEY}), 0)), "
+        f"v -> CASE WHEN {negative} THEN -v ELSE v END)[0]"
+    )
+    bare = rf"transform(array(regexp_replace(t, r'(?U)[₹$€£\s]', '')), b -> {signed})[0]"
+    return F.expr(
+        f"transform(array({text}), t -> CASE WHEN t IN ({empty}) THEN 0 ELSE {bare} END)[0]"
+    ).cast(MONEY)
 
 
 def looks_like_money(c: Column, *, allow_direction: bool = False) -> Column:

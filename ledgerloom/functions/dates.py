@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import find, let, strip
+from .text import find
 
 # Accepted years; two-digit years outside 90-99 and 00-40 are not dates.
 FIRST_YEAR, LAST_YEAR = 1990, 2040
@@ -18,27 +18,38 @@ LONG_MONTHS = [
 ]
 
 # Where a three-part date may sit inside a text, in the order they are tried.
-NUMERIC_DATES = [
-    (r"\b\d{1,2}/\d{1,2}/\d{4}\b", "/"),
-    (r"\b\d{1,2}-\d{1,2}-\d{4}\b", "-"),
-    (r"\b\d{1,2}\.\d{1,2}\.\d{4}\b", "\\."),
-    (r"\b\d{1,2}/\d{1,2}/\d{2}\b", "/"),
-    (r"\b\d{1,2}-\d{1,2}-\d{2}\b", "-"),
-    (r"\b\d{1,2}\.\d{1,2}\.\d{2}\b", "\\."),
+DATE_PATTERNS = [
+    r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    r"\b\d{1,2}-\d{1,2}-\d{4}\b",
+    r"\b\d{1,2}\.\d{1,2}\.\d{4}\b",
+    r"\b\d{1,2}/\d{1,2}/\d{2}\b",
+    r"\b\d{1,2}-\d{1,2}-\d{2}\b",
+    r"\b\d{1,2}\.\d{1,2}\.\d{2}\b",
+    r"\b\d{1,2}-[A-Za-z]{3,9}-\d{4}\b",
+    r"\b\d{1,2}-[A-Za-z]{3}-\d{2}\b",
+    r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\b",
+    r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2}\b",
+    r"\b[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}\b",
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    r"\b\d{4}/\d{2}/\d{2}\b",
+    r"^\d{4}-\d{1,2}-\d{1,2}$",
+    r"^\d{4}/\d{1,2}/\d{1,2}$",
 ]
-DAY_MONTHNAME_DATES = [
-    # pattern, separator, whether long month names are read
-    (r"\b\d{1,2}-[A-Za-z]{3,9}-\d{4}\b", "-", True),
-    (r"\b\d{1,2}-[A-Za-z]{3,9}-\d{2}\b", "-", False),
-    (r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\b", r"\s+", True),
-    (r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2}\b", r"\s+", True),
+NUMERIC_PATTERNS, MONTH_NAME_PATTERNS, ISO_PATTERNS = (
+    DATE_PATTERNS[:6], DATE_PATTERNS[6:11], DATE_PATTERNS[11:],
+)
+# A text that is one such date and nothing else.
+WHOLE_NUMERIC = r"^\d{1,2}([/\-.])\d{1,2}\1(\d{4}|\d{2})$"
+WHOLE_MONTH_NAME = (
+    r"^(\d{1,2}-[A-Za-z]{3,9}-\d{4}|\d{1,2}\s+[A-Za-z]{3,9}\s+(\d{4}|\d{2})"
+    r"|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})$"
+)
+# Two-part dates: name and day, day and name, two numbers.
+TWO_PART_PATTERNS = [
+    r"\b([A-Za-z]{3,9})\s*(\d{1,2})\b",
+    r"\b(\d{1,2})\s*([A-Za-z]{3,9})\b",
+    r"\b(\d{1,2})[/.\-](\d{1,2})\b",
 ]
-MONTHNAME_DAY_DATE = r"\b[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}\b"
-ISO_DATES = [(r"\b\d{4}-\d{2}-\d{2}\b", "-"), (r"\b\d{4}/\d{2}/\d{2}\b", "/")]
-LOOSE_ISO_DATE = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
-MONTHNAME_DAY = r"\b([A-Za-z]{3,9})\s*(\d{1,2})\b"
-DAY_MONTHNAME = r"\b(\d{1,2})\s*([A-Za-z]{3,9})\b"
-TWO_NUMBERS = r"\b(\d{1,2})[/.\-](\d{1,2})\b"
 
 # Where a statement says its year, in the order they are tried.
 YEAR_PATTERNS = [
@@ -54,119 +65,117 @@ YEAR_TOKEN = r"\b(19\d\d|20\d\d)\b"
 YEAR_HEAD_CHARS = 2000
 
 
-def _month_number(name: Column, *, long_names: bool) -> Column:
-    low = F.lower(name)
-    number = F.array_position(F.array(*[F.lit(m) for m in SHORT_MONTHS]), low)
-    if long_names:
-        number = F.greatest(
-            number, F.array_position(F.array(*[F.lit(m) for m in LONG_MONTHS]), low)
-        )
-    return F.nullif(number.cast("int"), F.lit(0))
-
-
-def _window_year(text: Column) -> Column:
-    """Four- or two-digit year text to a year of the accepted window, else null."""
-    y = text.cast("int")
-    short = F.when(y >= 90, y + 1900).when(y <= LAST_YEAR - 2000, y + 2000)
-    long = F.when(y < 1970, y + 100).otherwise(y)
-    return F.when(F.length(text) == 2, short).when(long.between(FIRST_YEAR, LAST_YEAR), long)
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    # try_cast gives null for days such as 31 February
-    return F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")).try_cast(
-        "date"
+def _month(name: str) -> str:
+    """Month number of a short or long month name; digits stay as they are."""
+    names = ", ".join(f"'{m}'" for m in SHORT_MONTHS + LONG_MONTHS)
+    return (
+        f"CASE WHEN {name} rlike r'^\\d' THEN try_cast({name} AS int) "
+        f"ELSE nullif((array_position(array({names}), lower({name})) - 1) % 12 + 1, 0) END"
     )
 
 
-def _dated(date: Column, raw: Column) -> Column:
-    return F.when(date.isNotNull(), F.struct(date.alias("date"), raw.alias("raw")))
-
-
-def _numeric(c: Column, pattern: str, sep: str) -> Column:
-    def read(m: Column) -> Column:
-        p = F.split(m, sep)
-        year = _window_year(p[2])
-        day_first = F.when(
-            p[1].cast("int").between(1, 12) & year.isNotNull(), _date(year, p[1], p[0])
-        )
-        month_first = F.when(
-            p[0].cast("int").between(1, 12) & year.isNotNull(), _date(year, p[0], p[1])
-        )
-        return _dated(F.coalesce(day_first, month_first), m)
-
-    return let(find(c, pattern), read)
-
+def _window_year(text: str) -> str:
+    """Four- or two-digit year text to a year of the accepted window, else null."""
+    full = (
+        "CASE WHEN length(t) = 4 THEN CASE WHEN int(t) < 1970 THEN int(t) + 100 ELSE int(t) END "
+        "WHEN int(t) >= 90 THEN int(t) + 1900 ELSE int(t) + 2000 END"
+    )
+    year = _let(full, "y", f"CASE WHEN y BETWEEN {FIRST_YEAR} AND {LAST_YEAR} THEN y END")
+    return _let(text, "t", year)
 
-def _month_named(c: Column, pattern: str, sep: str, parts: tuple[int, int], long_names: bool) -> Column:
-    day_at, month_at = parts
 
-    def read(m: Column) -> Column:
-        p = F.split(m, sep)
-        month = _month_number(p[month_at], long_names=long_names)
-        year = _window_year(p[2])
-        date = F.when(month.isNotNull() & year.isNotNull(), _date(year, month, p[day_at]))
-        return _dated(date, m)
+def _first_day(year: str, readings: list[tuple[str, str]]) -> str:
+    """First (month, day) reading that is a real day of the year.
 
-    return let(find(c, pattern), read)
+    try_cast gives null for days such as 31 February; a missing part never makes three parts.
+    """
+    texts = ", ".join(f"concat_ws('-', {year}, {month}, {day})" for month, day in readings)
+    days = f"transform(array({texts}), t -> CASE WHEN t rlike r'^\\d+-\\d+-\\d+$' THEN try_cast(t AS date) END)"
+    return f"get(filter({days}, d -> d IS NOT NULL), 0)"
 
 
-def _iso(c: Column, pattern: str, sep: str) -> Column:
-    def read(m: Column) -> Column:
-        p = F.split(m, sep)
-        year = _window_year(p[0])
-        return _dated(F.when(year.isNotNull(), _date(year, p[1], p[2])), m)
+def _three_part(m: str) -> str:
+    """Date of a matched three-part text: year first, name first, or day first.
 
-    return let(find(c, pattern), read)
+    Two numbers are read day first, and month first when that is no date.
+    """
+    body = _first_day(
+        _window_year("CASE WHEN p[0] rlike '^[0-9]{4}' THEN p[0] ELSE p[2] END"),
+        [
+            (
+                _month("CASE WHEN p[0] rlike '^[A-Za-z]' THEN p[0] ELSE p[1] END"),
+                "CASE WHEN p[0] rlike '^[0-9]{4}' THEN p[2] WHEN p[0] rlike '^[A-Za-z]' THEN p[1] ELSE p[0] END",
+            ),
+            (
+                "CASE WHEN length(p[0]) <= 2 AND p[1] rlike r'^\\d' THEN p[0] END",
+                "p[1]",
+            ),
+        ],
+    )
+    return _let(rf"split({m}, r'[/\-.,\s]+')", "p", body)
+
+
+def _two_part(m: str, year: str) -> str:
+    """Date of a matched two-part text; two numbers are read month first."""
+    parts = rf"split(regexp_replace({m}, r'^(\d+|[A-Za-z]{{3}})[A-Za-z]*[\s/.\-]*(\d+|[A-Za-z]{{3}})[A-Za-z]*$', '$1-$2'), '-')"
+    day_named = "p[1] rlike '^[A-Za-z]'"
+    body = _first_day(
+        year,
+        [
+            (_month(f"CASE WHEN {day_named} THEN p[1] ELSE p[0] END"), f"CASE WHEN {day_named} THEN p[0] ELSE p[1] END"),
+            (r"CASE WHEN NOT concat(p[0], p[1]) rlike '[A-Za-z]' THEN p[1] END", "p[0]"),
+        ],
+    )
+    return _let(parts, "p", body)
 
 
-def _two_part(c: Column, year: Column) -> Column:
-    def named(pattern: str, day_group: int, month_group: int) -> Column:
-        month = _month_number(
-            F.substring(F.regexp_extract(c, pattern, month_group), 1, 3), long_names=False
+def date_sql(c: str, statement_year: str | None = None, *, default_year: int) -> str:
+    """SQL text of ``parse_date``; ``c`` and ``statement_year`` are SQL expressions."""
+    year = str(default_year)
+    if statement_year:
+        year = (
+            f"CASE WHEN {statement_year} BETWEEN {FIRST_YEAR} AND {LAST_YEAR} THEN {statement_year} ELSE {default_year} END"
         )
-        date = F.when(month.isNotNull(), _date(year, month, F.regexp_extract(c, pattern, day_group)))
-        return _dated(date, find(c, pattern))
 
-    a = find(c, TWO_NUMBERS, 1).cast("int")
-    b = find(c, TWO_NUMBERS, 2).cast("int")
-    numbers = F.when(a.between(1, 12) & b.between(1, 31), _date(year, a, b)).when(
-        b.between(1, 12) & a.between(1, 31), _date(year, b, a)
-    )
-    return F.coalesce(
-        named(MONTHNAME_DAY, 2, 1), named(DAY_MONTHNAME, 1, 2), _dated(numbers, find(c, TWO_NUMBERS))
+    def first(guard: str, whole: str | None, patterns: list[str], read: str) -> str:
+        found = ", ".join(f"regexp_extract(s, r'{p}', 0)" for p in patterns)
+        matches = f"filter(array({found}), m -> m <> '')"
+        if whole:  # the text is one date and nothing else: no need to search in it
+            matches = f"CASE WHEN s rlike r'{whole}' THEN array(s) ELSE {matches} END"
+        dated = f"transform({matches}, m -> struct({read} AS date, m AS raw))"
+        return f"CASE WHEN s rlike r'{guard}' THEN get(filter({dated}, d -> d.date IS NOT NULL), 0) END"
+
+    three, two = _three_part("m"), _two_part("m", year)
+    body = (
+        "coalesce("
+        + ", ".join(
+            [
+                first(r"\d[/\-.]\d", WHOLE_NUMERIC, NUMERIC_PATTERNS, three),
+                first(r"[A-Za-z]{3}", WHOLE_MONTH_NAME, MONTH_NAME_PATTERNS, three),
+                first(r"\d{4}[-/]", None, ISO_PATTERNS, three),
+                first(r"\d", None, TWO_PART_PATTERNS, two),
+            ]
+        )
+        + ")"
     )
+    stripped = rf"regexp_replace({c}, r'^\s+|\s+$', '')"
+    return rf"CASE WHEN {c} rlike r'\d' THEN {_let(stripped, 's', body)} END"
 
 
-def parse_date(c: Column, statement_year: Column | None = None, *, default_year: int) -> Column:
-    """``struct<date, raw>`` of the first date in a text, or null.
+def parse_date(c: str, statement_year: str | None = None, *, default_year: int) -> Column:
+    """``struct<date, raw>`` of the first date in a text column, or null.
 
     Three-part dates are read day first, month first only when the day-first reading is
     impossible. Two-part dates take ``statement_year``, or ``default_year`` where that is
-    null or outside the accepted years. Month and separator families are only tried on
-    texts that can hold them.
+    null or outside the accepted years. The patterns are tried in order; one whose first
+    match is no real date gives way to the next. Pattern families are only tried on texts
+    that can hold them.
     """
-    fallback = F.lit(default_year)
-    if statement_year is not None:
-        fallback = F.when(statement_year.between(FIRST_YEAR, LAST_YEAR), statement_year).otherwise(
-            fallback
-        )
-
-    def read(text: Column) -> Column:
-        three = [_numeric(text, p, sep) for p, sep in NUMERIC_DATES]
-        names = [
-            _month_named(text, p, sep, (0, 1), long_names) for p, sep, long_names in DAY_MONTHNAME_DATES
-        ] + [_month_named(text, MONTHNAME_DAY_DATE, r",?\s+", (1, 0), True)]
-        iso = [_iso(text, p, sep) for p, sep in ISO_DATES]
-        loose = _iso(find(text, LOOSE_ISO_DATE), LOOSE_ISO_DATE, "[-/]")
-        return F.coalesce(
-            F.when(text.rlike(r"\d[/\-.]\d"), F.coalesce(*three)),
-            F.when(text.rlike("[A-Za-z]{3}"), F.coalesce(*names)),
-            F.when(text.rlike(r"\d{4}[-/]"), F.coalesce(*iso, loose)),
-            _two_part(text, fallback),
-        )
-
-    return F.when(c.rlike(r"\d"), let(strip(c), read))
+    return F.expr(date_sql(c, statement_year, default_year=default_year))
 
 
 def stated_year(c: Column, which: int) -> Column:

@@ -41,16 +41,16 @@ def joined_head(text: Column, order: Column, rank: Column, chars: int, separator
     return F.substring(F.array_join(F.transform(ordered, lambda p: p["t"]), separator), 1, chars)
 
 
-def table_years(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Year context per table from rows with ``cells`` and ``row_no``.
+def row_words(cells: Column) -> Column:
+    return F.array_join(cells, " ", "")
+
+
+def table_years(rows: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Year context per table from its rows and the ``first_hits`` over them.
 
     Patterns are looked for inside one row. The head text is collected for tables that state
     no year by a pattern only.
     """
-    text = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " ")
-    hits = rows.select(*keys, "row_no", text.alias("_text")).groupBy(*keys).agg(
-        *first_hits(F.col("_text"), F.col("row_no"))
-    )
     found = F.coalesce(*[F.nullif(F.col(f"_y{i}"), F.lit(0)) for i in range(len(YEAR_PATTERNS))])
     resolved = hits.select(*keys, found.alias("statement_year"))
     unresolved = resolved.where(F.col("statement_year").isNull()).select(*keys)
@@ -58,7 +58,9 @@ def table_years(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         rows.where(F.col("row_no") <= YEAR_HEAD_CHARS + 1)
         .join(unresolved, list(keys), "left_semi")
         .groupBy(*keys)
-        .agg(joined_head(text, F.col("row_no"), F.col("row_no"), YEAR_HEAD_CHARS, " ").alias("_head"))
+        .agg(
+            joined_head(row_words(F.col("cells")), F.col("row_no"), F.col("row_no"), YEAR_HEAD_CHARS, " ").alias("_head")
+        )
         .select(*keys, modal_year(year_tokens(F.col("_head"))).alias("_modal"))
     )
     return resolved.join(heads, list(keys), "left").select(

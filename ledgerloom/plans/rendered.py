@@ -1,7 +1,8 @@
 """Statements as they look on paper, rendered from the typed ledger.
 
 The parsers read these and must give the typed ledger back. A page (and so a table) holds
-``PAGE_ROWS`` ledger rows.
+``PAGE_ROWS`` ledger rows. They are written to the shared folder first: a parser reads its
+input tables more than once, as it would read tables that an extractor wrote.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .inputs import ledger
 
 PAGE_ROWS = 40
@@ -102,7 +104,7 @@ def tables(spark: SparkSession, sf_dir: str, layout: Column) -> DataFrame:
     foots = _by_layout(
         layout, [F.array(_text_row("Page Total", *([""] * (len(h[-1]) - 1)))) for h in HEADERS]
     )
-    return _pages(rows, heads, foots)
+    return stage(_pages(rows, heads, foots), "tables")
 
 
 NOTES = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
@@ -126,4 +128,5 @@ def positional_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select(
         "statement_id", page_of(F.col("row_no")).alias("table_no"), "row_no", lines.alias("lines")
     )
-    return _pages(rows, F.array(_text_row("Ledger extract", "", "", "", "")), F.array(_text_row("End", "", "", "", "")))
+    head, foot = [F.array(_text_row(w, "", "", "", "")) for w in ("Ledger extract", "End")]
+    return stage(_pages(rows, head, foot), "positional-tables")
