@@ -130,3 +130,153 @@ def positional_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head, foot = [F.array(_text_row(w, "", "", "", "")) for w in ("Ledger extract", "End")]
     return stage(_pages(rows, head, foot), "positional-tables")
+
+
+# ---- text pages -------------------------------------------------------------------------
+
+# Running text has no minus signs: balances are lifted by a fixed sum to stay positive.
+LIFT = 10_000_000
+LINE_DATES = ["dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "yyyy-MM-dd", "dd-MM-yy"]
+SECTION_YEAR = 2000
+
+
+def _chain(key: Column, values: list[Column]) -> Column:
+    return F.element_at(F.array(*values), (key % len(values) + 1).cast("int"))
+
+
+def ledger_line_pages(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
+    """Single-ledger text: date, narration and one to three amounts per line."""
+    t = ledger(spark, sf_dir)
+    if which is not None:
+        t = t.where(which)
+    date = _chain(F.col("txn_id"), [F.date_format("txn_date", f) for f in LINE_DATES])
+    size = F.format_number(F.col("debit") + F.col("credit"), 2)
+    total = F.format_number(F.col("balance") + LIFT, 2)
+    amounts = _chain(
+        F.col("txn_id"),
+        [
+            F.concat_ws("  ", F.format_number("debit", 2), F.format_number("credit", 2), total),
+            F.concat_ws("  ", size, total),
+            F.concat_ws("  ", size, total),
+            total,
+        ],
+    )
+    line = F.concat_ws(" ", date, F.col("description"), amounts)
+    note = F.when(F.col("txn_id") % 5 == 0, F.lit("   via the counter"))
+    rows = t.select(
+        "statement_id",
+        (page_of(F.col("row_no")) + 1).alias("page_no"),
+        F.struct("row_no", F.concat_ws("\n", line, note).alias("text")).alias("r"),
+    )
+    body = rows.groupBy("statement_id", "page_no").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return body.select(
+        "statement_id",
+        "page_no",
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("Statement of Account   Page No "), F.col("page_no").cast("string")),
+            F.lit("Opening Balance 0.00"),
+            F.array_join(F.transform("rows", lambda r: r["text"]), "\n"),
+            F.lit("Closing page of this statement"),
+        ).alias("text"),
+    )
+
+
+def section_of() -> Column:
+    """0 deposits, 1 withdrawals, 2 checks."""
+    is_check = (F.col("debit") > 0) & (F.col("txn_id") % 16 == 11)
+    return F.when(F.col("credit") > 0, 0).when(is_check, 2).otherwise(1)
+
+
+SECTION_TEXT = [
+    ("Deposits & Other Credits\nDescription    DateCredited    Amount", "Total Deposits & Other Credits"),
+    ("ATM Withdrawals & Debits\nDescription    Date Paid    Amount", "Total ATM Withdrawals"),
+    ("Checks Paid\nDate Paid    CheckNumber    Amount    ReferenceNumber", "Total Checks Paid"),
+]
+
+
+def section_pages(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
+    """Sectioned text: page 1 is a summary, the sections follow with two-part dates."""
+    t = ledger(spark, sf_dir)
+    if which is not None:
+        t = t.where(which)
+    t = t.withColumn("section", section_of())
+    day = F.date_format("txn_date", "MM-dd")
+    size = F.format_number(F.col("debit") + F.col("credit"), 2)
+    entry = F.concat_ws(
+        "\n",
+        F.when(F.col("txn_id") % 5 == 0, F.lit("memo of the branch")),
+        F.concat(F.col("description"), F.lit("  "), day, F.lit("  $"), size),
+    )
+    check = F.concat_ws(
+        "    ", day, (F.col("txn_id") + 1000).cast("string"), size, F.lpad(F.col("txn_id").cast("string"), 9, "0")
+    )
+    rows = t.select(
+        "statement_id",
+        (page_of(F.col("row_no")) * 3 + F.col("section") + 2).alias("page_no"),
+        "section",
+        F.struct("row_no", F.when(F.col("section") == 2, check).otherwise(entry).alias("text")).alias("r"),
+        (F.col("debit") + F.col("credit")).alias("size"),
+    )
+    body = rows.groupBy("statement_id", "page_no", "section").agg(
+        F.array_sort(F.collect_list("r")).alias("rows"), F.sum("size").alias("total")
+    )
+    pick = lambda i: _by_layout(F.col("section"), [F.lit(s[i]) for s in SECTION_TEXT])
+    data = body.select(
+        "statement_id",
+        "page_no",
+        F.concat_ws(
+            "\n",
+            pick(0),
+            F.array_join(F.transform("rows", lambda r: r["text"]), "\n"),
+            F.concat(pick(1), F.lit(" $"), F.format_number("total", 2)),
+        ).alias("text"),
+    )
+    summary = rows.select("statement_id").distinct().select(
+        "statement_id",
+        F.lit(1).cast("long").alias("page_no"),
+        F.lit(
+            f"Statement Date: June 5, {SECTION_YEAR}\nAccount Summary\nPrevious period 01-02 $12.00\n"
+        ).alias("text"),
+    )
+    return summary.unionByName(data)
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the ledger-line pages as boxes; some extra words are too faint to count."""
+    pages = ledger_line_pages(spark, sf_dir)
+    lines = pages.select(
+        "statement_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line", "text")
+    )
+    words = lines.select(
+        "statement_id", "page_no", "line", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "text")
+    )
+    wobble = F.crc32(F.concat_ws("|", "text", "line", "at").cast("binary")) % 3
+    boxes = words.select(
+        "statement_id",
+        "page_no",
+        "text",
+        (F.col("at") * 50).cast("double").alias("x"),
+        (F.col("line") * 20 + wobble).cast("double").alias("y"),
+        F.lit(12.0).alias("h"),
+        F.lit("0.9").alias("score"),
+    )
+    faint = lines.where("line % 7 = 0").select(
+        "statement_id",
+        "page_no",
+        F.lit("smudge").alias("text"),
+        F.lit(7.0).alias("x"),
+        (F.col("line") * 20).cast("double").alias("y"),
+        F.lit(12.0).alias("h"),
+        F.lit("0.2").alias("score"),
+    )
+    unscored = lines.where("line = 1").select(
+        "statement_id",
+        "page_no",
+        F.lit("INR").alias("text"),
+        F.lit(900.0).alias("x"),
+        (F.col("line") * 20).cast("double").alias("y"),
+        F.lit(4.0).alias("h"),
+        F.lit("n/a").alias("score"),
+    )
+    return boxes.unionByName(faint).unionByName(unscored)
