@@ -68,8 +68,8 @@ def tfidf(texts: DataFrame, key: str, size: int = VOCABULARY) -> DataFrame:
     )
     known = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("docs"))
     known = known.orderBy(F.desc("total"), "term").limit(size).select("term", "docs")
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    known = known.join(F.broadcast(n)).select("term", idf(F.col("docs"), F.col("n")).alias("idf"))
+    n = texts.agg(F.count(F.lit(1))).scalar()
+    known = known.select("term", idf(F.col("docs"), n).alias("idf"))
     weighted = counts.join(F.broadcast(known), "term").select(
         key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw")
     )
@@ -85,17 +85,17 @@ def naive_bayes_table(weights: DataFrame, labels: DataFrame, key: str, *, smooth
     """
     sums = weights.join(labels, key).groupBy("category", "term").agg(F.sum("weight").alias("s"))
     prior = labels.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    everything = prior.agg(F.sum("n").alias("all"))
-    words = sums.select("term").distinct()
-    grid = prior.crossJoin(F.broadcast(everything)).join(F.broadcast(words))  # bounded: classes x vocabulary
+    everything = prior.agg(F.sum("n")).scalar()
+    size = sums.agg(F.count_distinct("term")).scalar()
+    # every term meets every category: the categories are one short array
+    classes = prior.agg(F.collect_list(F.struct("category", "n"))).scalar()
+    grid = sums.select("term").distinct().select("term", F.explode(classes).alias("c"))
+    grid = grid.select("term", "c.category", "c.n")
     per_class = sums.groupBy("category").agg(F.sum("s").alias("class_sum"))
-    size = words.agg(F.count(F.lit(1)).alias("v"))
-    filled = (
-        grid.join(sums, ["category", "term"], "left").join(per_class, "category").join(F.broadcast(size))
-    )
-    log_prob = F.log((F.coalesce("s", F.lit(0.0)) + smoothing) / (F.col("class_sum") + smoothing * F.col("v")))
+    filled = grid.join(sums, ["category", "term"], "left").join(per_class, "category")
+    log_prob = F.log((F.coalesce("s", F.lit(0.0)) + smoothing) / (F.col("class_sum") + smoothing * size))
     return filled.select(
-        "category", "term", log_prob.alias("log_prob"), F.log(F.col("n") / F.col("all")).alias("log_prior")
+        "category", "term", log_prob.alias("log_prob"), F.log(F.col("n") / everything).alias("log_prior")
     )
 
 
@@ -238,9 +238,7 @@ def class_report(predictions: DataFrame, label: str = "category", predicted: str
     per_class = sides.groupBy("class").agg(
         F.sum("actual").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hits").alias("hits")
     )
-    overall = confusion.agg(
-        (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")
-    )
+    overall = confusion.agg(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).scalar()
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     precision, recall = ratio(F.col("hits"), F.col("claimed")), ratio(F.col("hits"), F.col("support"))
     return (
@@ -249,8 +247,7 @@ def class_report(predictions: DataFrame, label: str = "category", predicted: str
         .withColumn(
             "f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
         )
-        .join(F.broadcast(overall))
-        .select("class", "precision", "recall", "f1", "support", "accuracy")
+        .select("class", "precision", "recall", "f1", "support", overall.alias("accuracy"))
     )
 
 

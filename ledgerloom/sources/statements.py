@@ -10,13 +10,18 @@ TABLES = "statement_id string, table_no long, row_no long, cells array<string>"
 WORD_BOXES = "statement_id string, page_no long, text string, x double, y double, h double, score string"
 
 
-def statement_id() -> Column:
-    """Base name of the file a row comes from, without its ending."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+FILE_NAME = r"([^/]+?)(\.[^./]*)?$"
 
 
-def read_files(spark: SparkSession, path: str, fmt: str, schema: str | None = None, **options) -> DataFrame:
-    """Rows of all files below ``path`` with ``statement_id`` taken from the file name.
+def statement_id(pattern: str = FILE_NAME) -> Column:
+    """Id of the statement a row comes from: base name of its file, or another part of its path."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def read_files(
+    spark: SparkSession, path: str, fmt: str, schema: str | None = None, *, id_pattern: str = FILE_NAME, **options
+) -> DataFrame:
+    """Rows of all files below ``path`` with ``statement_id`` taken from the path.
 
     ``pathGlobFilter`` and other reader options may be given; a malformed record fails.
     """
@@ -25,7 +30,7 @@ def read_files(spark: SparkSession, path: str, fmt: str, schema: str | None = No
         reader = reader.option("mode", "FAILFAST")
     if schema:
         reader = reader.schema(schema)
-    return reader.load(path).withColumn("statement_id", statement_id())
+    return reader.load(path).withColumn("statement_id", statement_id(id_pattern))
 
 
 def read_text_statements(spark: SparkSession, path: str, **options) -> DataFrame:
