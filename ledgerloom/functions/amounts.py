@@ -34,8 +34,12 @@ def clean_amount(c: str, *, read_rs_prefix: bool = False) -> Column:
         f"v -> CASE WHEN {negative} THEN -v ELSE v END)[0]"
     )
     bare = rf"transform(array(regexp_replace(t, r'(?U)[₹$€£\s]', '')), b -> {signed})[0]"
+    read = f"transform(array({text}), t -> CASE WHEN t IN ({empty}) THEN 0 ELSE {bare} END)[0]"
+    # plain western or Indian numbers, the usual case, need none of this
+    plain = rf"{c} rlike r'^-?\d{{1,3}}(,?\d{{2,3}})*\.\d{{1,2}}$'"
     return F.expr(
-        f"transform(array({text}), t -> CASE WHEN t IN ({empty}) THEN 0 ELSE {bare} END)[0]"
+        f"CASE WHEN coalesce({c}, '') = '' THEN 0 WHEN {plain} THEN coalesce(try_cast(translate({c}, ',', '') AS {MONEY}), 0) "
+        f"ELSE {read} END"
     ).cast(MONEY)
 
 

@@ -44,6 +44,8 @@ WHOLE_MONTH_NAME = (
     r"^(\d{1,2}-[A-Za-z]{3,9}-\d{4}|\d{1,2}\s+[A-Za-z]{3,9}\s+(\d{4}|\d{2})"
     r"|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})$"
 )
+QUICK_DAY_FIRST = r"^\d{2}([/.\-])\d{2}\1(199\d|20[0-3]\d|2040)$"
+QUICK_ISO = r"^(199\d|20[0-3]\d|2040)-\d{2}-\d{2}$"
 # Two-part dates: name and day, day and name, two numbers.
 TWO_PART_PATTERNS = [
     r"\b([A-Za-z]{3,9})\s*(\d{1,2})\b",
@@ -61,6 +63,8 @@ YEAR_PATTERNS = [
      r"|December)\s*\d{1,2},?\s*(19\d\d|20\d\d)\b", (1,)),
     (r"\b\d{1,2}[/-]\d{1,2}[/-](19\d\d|20\d\d)\b", (1,)),
 ]
+# Words without which a year pattern cannot match, cheap to look for first.
+YEAR_WORDS = ["(?i)statement", "(?i)balance", "(?i)period", "(?i)(?=[JFMASOND])(?:ja|fe|mar|ap|may|ju|au|se|oc|no|de)", r"\d[/-]\d"]
 YEAR_TOKEN = r"\b(19\d\d|20\d\d)\b"
 YEAR_HEAD_CHARS = 2000
 
@@ -162,8 +166,14 @@ def date_sql(c: str, statement_year: str | None = None, *, default_year: int) ->
         )
         + ")"
     )
+    # the two most usual wordings are read directly
+    day = f"try_cast(concat(substr({c}, 7, 4), '-', substr({c}, 4, 2), '-', substr({c}, 1, 2)) AS date)"
+    quick = (
+        rf"CASE WHEN {c} rlike r'{QUICK_DAY_FIRST}' AND {day} IS NOT NULL THEN struct({day} AS date, {c} AS raw) "
+        rf"WHEN {c} rlike r'{QUICK_ISO}' AND try_cast({c} AS date) IS NOT NULL THEN struct(try_cast({c} AS date) AS date, {c} AS raw) END"
+    )
     stripped = rf"regexp_replace({c}, r'^\s+|\s+$', '')"
-    return rf"CASE WHEN {c} rlike r'\d' THEN {_let(stripped, 's', body)} END"
+    return rf"CASE WHEN {c} rlike r'\d' THEN coalesce({quick}, {_let(stripped, 's', body)}) END"
 
 
 def parse_date(c: str, statement_year: str | None = None, *, default_year: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import find, has_any, literals, strip, title_case
+from .text import find, first_letters, has_any, literals, strip, title_case
 
 
 def channel(description: Column) -> Column:
@@ -27,7 +27,7 @@ def merchant(description: Column) -> Column:
     A match of two characters or less, or of digits only, gives way to the next pattern.
     """
     patterns = [
-        rf"(?iU)\b({literals(K.MERCHANT_BRANDS)})\b",
+        rf"(?iU){first_letters(K.MERCHANT_BRANDS)}\b({'|'.join(K.MERCHANT_BRANDS)})\b",
         f"(?i){K.MERCHANT_UPI}",
         f"(?i){K.MERCHANT_PAYEE}",
     ]
@@ -66,7 +66,7 @@ def word_category(narration: Column, is_debit: Column, is_credit: Column) -> Col
     allowed = {"DEBIT": is_debit, "CREDIT": is_credit, "ANY": F.lit(True)}
     chain = None
     for category, direction, words in K.WORD_RULES:
-        hit = allowed[direction] & narration.rlike(rf"(?U)\b(?:{'|'.join(words)})\b")
+        hit = allowed[direction] & narration.rlike(rf"(?U){first_letters(words)}\b(?:{'|'.join(words)})\b")
         value = F.lit(category)
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain

@@ -13,9 +13,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# White space of any kind, as it may stand at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Drop white space (tabs and line breaks too) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def squeeze(c: Column) -> Column:
@@ -24,7 +31,7 @@ def squeeze(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.length(c) > 0, c)
+    return F.nullif(c, F.lit(""))
 
 
 def find(c: Column, pattern: str, group: int = 0) -> Column:
@@ -32,9 +39,15 @@ def find(c: Column, pattern: str, group: int = 0) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def first_letters(words: list[str]) -> str:
+    """Look-ahead for the first letters of the words: most places of a text fail it at once."""
+    return "(?=[" + "".join(sorted({re.escape(w[0]) for w in words})) + "])"
+
+
 def literals(words: list[str]) -> str:
     """A pattern that matches any of the words as plain text."""
-    return "|".join(re.escape(w).replace("\\ ", " ") for w in words)
+    plain = "|".join(re.escape(w).replace("\\ ", " ") for w in words)
+    return f"(?:{first_letters(words)}(?:{plain}))"
 
 
 def has_any(c: Column, words: list[str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import YEAR_HEAD_CHARS, YEAR_PATTERNS, modal_year, stated_year, year_tokens
+from ..functions.dates import YEAR_HEAD_CHARS, YEAR_PATTERNS, YEAR_WORDS, modal_year, stated_year, year_tokens
 
 
 def first_hits(text: Column, order: Column) -> list[Column]:
@@ -18,7 +18,7 @@ def first_hits(text: Column, order: Column) -> list[Column]:
     """
     out = []
     for i, (pattern, _) in enumerate(YEAR_PATTERNS):
-        matched = text.rlike(r"(19|20)\d\d") & text.rlike(pattern)
+        matched = text.rlike(r"(19|20)\d\d") & text.rlike(YEAR_WORDS[i]) & text.rlike(pattern)
         year = F.when(matched, F.coalesce(stated_year(text, i), F.lit(0)))
         out.append(F.min_by(year, F.when(matched, order)).alias(f"_y{i}"))
     return out

@@ -11,7 +11,8 @@ from ..functions.text import normalize_narration
 from ..operators import analytics, audit
 from ..operators import labelling as lab
 from ..sources import reports
-from .inputs import entries, ledger, table
+from . import inputs
+from .inputs import ledger, spread, table
 from .label_sql import (
     AUDIT_STEPS, channel_case, labelled_steps, merchant_steps, quoted, token_case, word_case,
 )
@@ -21,6 +22,10 @@ LABELLED = labelled_steps()
 CREDIT, DEBIT = "(credit > 0 or type = 'CREDIT')", "(debit > 0 or type = 'DEBIT')"
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(inputs.entries(spark, sf_dir), "txn_id")
+
+
 def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.label_by_rules(entries(spark, sf_dir))
 

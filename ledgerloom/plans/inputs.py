@@ -72,6 +72,16 @@ def narration(txn_id: Column) -> Column:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, spread over the cores.
+
+    The label expressions work long on few bytes. A large table has more splits than cores
+    and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as unnumbered ledger entries: one narrow scan, no shuffle."""
     amount = F.col("o_totalprice").cast(MONEY)
