@@ -82,32 +82,22 @@ def rule_labels(df, prefix: str = ""):
     hit = F.coalesce(
         token_category(narration, is_credit), word_category(narration, is_debit, is_credit)
     )
-    # The rule hit is one intermediate column, so its chain is evaluated once per row.
-    out = df.withColumn("_hit", hit).withColumn(
-        "_fallback",
-        F.when(F.col("_hit").isNotNull(), F.lit("rule"))
-        .when(has_any(narration, K.TRANSFER_WORDS), F.lit("transfer"))
-        .when(is_credit, F.lit("deposit"))
-        .otherwise(F.lit("none")),
-    )
-    source = F.col("_fallback")
+    transfer = has_any(narration, K.TRANSFER_WORDS)
+    fallback = F.when(transfer, F.lit(K.TRANSFER)).when(is_credit, F.lit(K.SALARY)).otherwise(F.lit(K.MISC))
+    # The rule hit is one intermediate column and each result uses it once, so its chain is
+    # evaluated once, also where a filter on the category is pushed below the projection.
+    ruled = F.col("_hit").isNotNull()
     return (
-        out.withColumn(
-            f"{prefix}category",
-            F.when(source == "rule", F.col("_hit"))
-            .when(source == "transfer", F.lit(K.TRANSFER))
-            .when(source == "deposit", F.lit(K.SALARY))
-            .otherwise(F.lit(K.MISC)),
-        )
-        .withColumn(
-            f"{prefix}sub_category", F.when(source == "deposit", F.lit("Other Deposit"))
-        )
-        .withColumn(
-            f"{prefix}confidence",
-            F.when(source == "rule", F.lit(K.RULE_CONFIDENCE))
-            .when(source == "transfer", F.lit(K.TRANSFER_CONFIDENCE))
-            .when(source == "deposit", F.lit(K.OTHER_DEPOSIT_CONFIDENCE))
-            .otherwise(F.lit(K.MISC_CONFIDENCE)),
+        df.withColumn("_hit", hit)
+        .withColumns(
+            {
+                f"{prefix}category": F.coalesce("_hit", fallback),
+                f"{prefix}sub_category": F.when(~ruled & ~transfer & is_credit, F.lit("Other Deposit")),
+                f"{prefix}confidence": F.when(ruled, F.lit(K.RULE_CONFIDENCE))
+                .when(transfer, F.lit(K.TRANSFER_CONFIDENCE))
+                .when(is_credit, F.lit(K.OTHER_DEPOSIT_CONFIDENCE))
+                .otherwise(F.lit(K.MISC_CONFIDENCE)),
+            }
         )
-        .drop("_hit", "_fallback")
+        .drop("_hit")
     )

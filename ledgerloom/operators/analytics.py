@@ -65,6 +65,17 @@ def channel_summary(ledger: DataFrame) -> DataFrame:
     )
 
 
+def with_merchant(rows: DataFrame) -> DataFrame:
+    """Rows whose merchant is known.
+
+    An explode of at most one value: a filter would be pushed below the merchant expression
+    and evaluate it again.
+    """
+    named = F.filter(F.array("merchant"), lambda m: m != "")
+    others = [c for c in rows.columns if c != "merchant"]
+    return rows.select(*others, F.explode(named).alias("merchant"))
+
+
 def top_merchants(ledger: DataFrame, n: int = TOP_MERCHANTS) -> DataFrame:
     """The n merchants with the largest debit sum of each statement.
 
@@ -72,7 +83,7 @@ def top_merchants(ledger: DataFrame, n: int = TOP_MERCHANTS) -> DataFrame:
     per statement, however many merchants it has.
     """
     per_merchant = (
-        ledger.where((F.col("debit") > 0) & F.col("merchant").isNotNull() & (F.col("merchant") != ""))
+        with_merchant(ledger.where("debit > 0").select(STATEMENT, "merchant", "debit"))
         .groupBy(STATEMENT, "merchant")
         .agg(F.sum("debit").alias("total_amount"), F.count(F.lit(1)).alias("count"))
     )

@@ -85,6 +85,9 @@ def apply_overrides(labelled: DataFrame, overrides: DataFrame, key: str = "txn_i
 def search(labelled: DataFrame, text: str = "", category: str = "All", kind: str = "All") -> DataFrame:
     """Rows whose narration or merchant holds the text, of one category and direction."""
     out = labelled
+    # cheapest test first; amounts are tested in the scan
+    if kind in ("Debit", "Credit"):
+        out = out.where(F.col(kind.lower()) > 0)
     if text:
         needle = text.lower()
         out = out.where(
@@ -92,8 +95,6 @@ def search(labelled: DataFrame, text: str = "", category: str = "All", kind: str
         )
     if category != "All":
         out = out.where(F.col("category") == category)
-    if kind in ("Debit", "Credit"):
-        out = out.where(F.col(kind.lower()) > 0)
     return out
 
 

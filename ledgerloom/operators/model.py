@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,7 @@ def tfidf(texts: DataFrame, key: str, size: int = VOCABULARY) -> DataFrame:
     counts = tokens.select(key, F.explode(TERMS_COLUMN).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
+    counts = stage(counts, "term-counts")  # read for the vocabulary and for the weights
     known = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("docs"))
     known = known.orderBy(F.desc("total"), "term").limit(size).select("term", "docs")
     n = texts.agg(F.count(F.lit(1))).scalar()
@@ -73,8 +74,9 @@ def tfidf(texts: DataFrame, key: str, size: int = VOCABULARY) -> DataFrame:
     weighted = counts.join(F.broadcast(known), "term").select(
         key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw")
     )
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # one text has at most ``size`` different known terms
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def naive_bayes_table(weights: DataFrame, labels: DataFrame, key: str, *, smoothing: float = NB_SMOOTHING) -> DataFrame:

@@ -263,7 +263,7 @@ def q_merchants(spark, sf_dir):
 def q_merchants_book(spark, sf_dir):
     rows = lab.with_channel_and_merchant(entries(spark, sf_dir))
     return (
-        rows.where((F.col("debit") > 0) & F.col("merchant").isNotNull() & (F.col("merchant") != ""))
+        analytics.with_merchant(rows.where("debit > 0").select("merchant", "debit"))
         .groupBy("merchant")
         .agg(F.sum("debit").alias("total"), F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("total"), "merchant")

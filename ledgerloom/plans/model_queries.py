@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, model
 from ..operators import labelling as lab
 from ..session import shared_folder
-from .book_queries import LABELLED, NORMALIZED_SQL, labelled_entries, stub_scores, _NAMES13
-from .inputs import entries
+from .book_queries import LABELLED, NORMALIZED_SQL, entries, labelled_entries, stub_scores, _NAMES13
 from .registry import query
 
 WORDS_SQL = f"""norm as (select txn_id, category, regexp_extract_all({NORMALIZED_SQL.format(c='description')}, '\\w\\w+') as w from labelled),
