@@ -43,6 +43,7 @@ def scan(
     whole: dict[str, Column] | None = None,
     facts: DataFrame | None = None,
     only: Column | None = None,
+    carry_over: bool = True,
 ) -> DataFrame:
     """Running values along ``order`` inside each key, computed block by block.
 
@@ -53,7 +54,8 @@ def scan(
 
     The per-block totals are partial aggregates (one row per block leaves each map task).
     Without ``whole`` and ``facts`` only keys with more than one block get a carry row; where
-    the rows know that already (``only``), the others are not even read for it.
+    the rows know that already (``only``), the others are not even read for it. Rows of keys
+    that are all one block need no carry at all (``carry_over=False``): one window.
     """
     sums, latest, before, whole = sums or {}, latest or {}, before or {}, whole or {}
     lasts = {**latest, **before}
@@ -62,6 +64,18 @@ def scan(
     up_to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     until_before = inside.rowsBetween(Window.unboundedPreceding, -1)
 
+    local = df.select(
+        "*",
+        *[F.sum(v).over(up_to_here).alias(f"_l_{n}") for n, v in sums.items()],
+        *[F.last(v, ignorenulls=True).over(up_to_here).alias(f"_l_{n}") for n, v in latest.items()],
+        *[F.last(v, ignorenulls=True).over(until_before).alias(f"_l_{n}") for n, v in before.items()],
+    )
+    if not carry_over:
+        return local.select(
+            *[F.col(f"`{c}`") for c in df.columns],
+            *[F.coalesce(F.col(f"_l_{n}"), F.lit(0)).alias(n) for n in sums],
+            *[F.col(f"_l_{n}").alias(n) for n in lasts],
+        )
     totals = (df if only is None else df.where(only)).groupBy(*keys, block).agg(
         *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()],
         *[F.sum(v).alias(f"_w_{n}") for n, v in whole.items()],
@@ -85,13 +99,6 @@ def scan(
     if not whole and facts is None:
         carry = carry.where("_blocks_before > 0")
     carry = carry.drop("_blocks_before")
-
-    local = df.select(
-        "*",
-        *[F.sum(v).over(up_to_here).alias(f"_l_{n}") for n, v in sums.items()],
-        *[F.last(v, ignorenulls=True).over(up_to_here).alias(f"_l_{n}") for n, v in latest.items()],
-        *[F.last(v, ignorenulls=True).over(until_before).alias(f"_l_{n}") for n, v in before.items()],
-    )
     joined = local.join(carry, [*keys, block], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
