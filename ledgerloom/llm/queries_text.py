@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, simhash
+from .common import table
+
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    code = bpe.coded(F.col("text"), path, public_tokenizers.PATTERN, digests=True)
+    return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op8_bpe": op8_bpe}
 ORACLES: dict = {}
