@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import table
+from . import bpe, language_id, simhash
+from .common import doc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -17,11 +17,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (doc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out)
+    model = language_id.train(docs.where("not held_out"))
+    found = docs.select("doc_id", "held_out", language_id.predicted(F.col("text"), spark, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     code = bpe.coded(F.col("text"), path, public_tokenizers.PATTERN, digests=True)
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op8_bpe": op8_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op8_bpe": op8_bpe}
 ORACLES: dict = {}
