@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, simhash
+from . import bpe, decontaminate, language_id, simhash
 from .common import doc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -25,11 +25,52 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = """with w as (
+ select doc_id, list_filter(regexp_split_to_array(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from documents),
+iw as (
+ select item_id, list_filter(regexp_split_to_array(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from benchmark),
+wins as (
+ select distinct item_id, least(len(w), 10) as n,
+  array_to_string(w[at : at + least(len(w), 10) - 1], ' ') as body
+ from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as at from iw where len(w) > 0)),
+lens as (select distinct n from wins),
+spots as (
+ select doc_id, n, at, array_to_string(w[at : at + n - 1], ' ') as body
+ from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as at from w, lens where len(w) >= n)),
+hits as (select doc_id, at, s.n, item_id from spots s join wins using (n, body)),
+covered as (
+ select doc_id, count(distinct word) as n_hit
+ from (select doc_id, unnest(range(at, at + n)) as word from (select distinct doc_id, at, n from hits)) group by doc_id),
+named as (
+ select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+ from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+ cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 as contaminated
+from w left join covered using (doc_id) left join named using (doc_id)"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     code = bpe.coded(F.col("text"), path, public_tokenizers.PATTERN, digests=True)
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op8_bpe": op8_bpe}
-ORACLES: dict = {}
+QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
+ORACLES = {"op7_decontaminate": OP7_SQL}
