@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, simhash
+from . import bpe, decontaminate, language_id, simhash, winnow
 from .common import doc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
+        winnow.written(F.col("fingerprint")).alias("fingerprint"),
+        winnow.written(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.with_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -72,5 +85,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op6_winnow": op6_winnow, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
 ORACLES = {"op7_decontaminate": OP7_SQL}
