@@ -53,23 +53,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """with w as (
  select doc_id, list_filter(regexp_split_to_array(
    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from documents),
+   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
 iw as (
  select item_id, list_filter(regexp_split_to_array(
    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from benchmark),
+   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
 wins as (
  select distinct item_id, least(len(w), 10) as n,
-  array_to_string(w[at : at + least(len(w), 10) - 1], ' ') as body
- from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as at from iw where len(w) > 0)),
+  array_to_string(w[pos : pos + least(len(w), 10) - 1], ' ') as body
+ from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as pos from iw where len(w) > 0)),
 lens as (select distinct n from wins),
 spots as (
- select doc_id, n, at, array_to_string(w[at : at + n - 1], ' ') as body
- from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as at from w, lens where len(w) >= n)),
-hits as (select doc_id, at, s.n, item_id from spots s join wins using (n, body)),
+ select doc_id, n, pos, array_to_string(w[pos : pos + n - 1], ' ') as body
+ from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as pos from w, lens where len(w) >= n)),
+hits as (select doc_id, pos, s.n, item_id from spots s join wins using (n, body)),
 covered as (
  select doc_id, count(distinct word) as n_hit
- from (select doc_id, unnest(range(at, at + n)) as word from (select distinct doc_id, at, n from hits)) group by doc_id),
+ from (select doc_id, unnest(range(pos, pos + n)) as word from (select distinct doc_id, pos, n from hits)) group by doc_id),
 named as (
  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
