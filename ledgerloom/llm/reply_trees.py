@@ -106,11 +106,16 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     chosen = stage(chosen, "branches")
     way = chosen.select("*", F.col("leaf").alias("node"), F.col("depth").alias("place"))
     for k, jump in reversed(list(enumerate(jumps))):
-        higher = way.join(jump, ["tree", "node"]).select(
-            "tree", "leaf", "branch_score", "depth", "rank", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")
+        # every message so far stays, and its 2^k-th ancestor joins it
+        own = F.struct("node", "place")
+        higher = F.struct(F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
+        both = F.when(F.col("up").isNull(), F.array(own)).otherwise(F.array(own, higher))
+        way = (
+            way.join(jump, ["tree", "node"], "left")
+            .select("tree", "leaf", "branch_score", "rank", F.explode(both).alias("at"))
+            .select("tree", "leaf", "branch_score", "rank", "at.*")
         )
-        way = way.select(*higher.columns).unionByName(higher)
-    return way.drop("depth")
+    return way.select("tree", "leaf", "branch_score", "rank", "node", "place")
 
 
 def formatted(messages: DataFrame, keep: int | None = 1, *, learned: str = "assistant") -> DataFrame:
