@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, simhash, winnow
+from . import bpe, decontaminate, language_id, sharding, simhash, winnow
 from .common import doc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.with_edits(table(spark, sf_dir, "documents"))
     return found.select(
@@ -85,5 +97,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op6_winnow": op6_winnow, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_sharding": op4_sharding, "op6_winnow": op6_winnow, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
 ORACLES = {"op7_decontaminate": OP7_SQL}
