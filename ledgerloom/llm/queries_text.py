@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, sharding, simhash, winnow
+from . import bpe, decontaminate, katz, language_id, sharding, simhash, winnow
 from .common import doc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -97,5 +97,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).select("doc_id", "code.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_sharding": op4_sharding, "op6_winnow": op6_winnow, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
+    "op4_sharding": op4_sharding,
+    "op6_winnow": op6_winnow,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_bpe": op8_bpe,
+    "op10_katz": op10_katz,
+}
 ORACLES = {"op7_decontaminate": OP7_SQL}
