@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,8 +42,10 @@ LARGE = 5
 TAIL = 0.01
 HOT = 1024
 # Tokens of one partition of bigrams, on average, and partitions at least.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 3_000_000
 LEAST_PARTS = 32
+# Text whose tokens are sorted and sent together.
+BATCH_BYTES = 12 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh64_intdigest(b" start"))
@@ -80,19 +83,16 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and an end, and how many each text has."""
-    words, sizes = [], []
+    found = []
     for text in texts:
         own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(own)
-        sizes.append(len(own) + 1)
-    sizes = np.array(sizes, np.int64)
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(0)), np.uint64, len(own)))
+    sizes = np.array([len(own) + 1 for own in found], np.int64)
     out = np.full(int(sizes.sum()), END)
-    ends = np.cumsum(sizes) - 1
     inside = np.ones(len(out), bool)
-    inside[ends] = False
-    out[inside] = np.fromiter(
-        map(xxhash.xxh64_intdigest, (w for own in words for w in own), repeat(0)), np.uint64, int(inside.sum())
-    )
+    inside[np.cumsum(sizes) - 1] = False
+    if found:
+        out[inside] = np.concatenate(found)
     return out, sizes
 
 
@@ -169,13 +169,19 @@ class Words:
 
 
 def _batches(docs: DataFrame, use, schema: str) -> DataFrame:
-    """``use`` over (batch number, doc_id, held_out, text) of each Arrow batch."""
+    """``use`` over (batch number, doc_id, held_out, text) of about BATCH_BYTES of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        for i, b in enumerate(batches):
-            if b.num_rows:
-                yield from use(base + i, b["doc_id"], np.array(b["held_out"].to_pylist(), bool), b["text"].to_pylist())
+        seq = TaskContext.get().partitionId() << 24
+        for rows in batches:
+            sizes = np.array(pc.fill_null(pc.binary_length(rows["text"]), 0))
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                if b > a:
+                    part = rows.slice(a, b - a)
+                    held = np.array(part["held_out"].to_pylist(), bool)
+                    yield from use(seq, part["doc_id"], held, part["text"].to_pylist())
+                    seq += 1
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 

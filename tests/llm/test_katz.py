@@ -65,6 +65,7 @@ def limits(request, monkeypatch):
     if request.param == "hot":  # many hot words and pairs, more than one partition
         monkeypatch.setattr(k, "HOT", 20)
         monkeypatch.setattr(k, "LEAST_PARTS", 7)
+        monkeypatch.setattr(k, "BATCH_BYTES", 500)
 
 
 def test_scores_match_plain_counting(spark, limits):
