@@ -122,6 +122,30 @@ def with_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW_WORDS,
     items no window, and an item without id occurs under the id null, which is not listed;
     repeated rows each get their result. Of ``docs`` only doc_id and text are read.
     """
+    rows, hits, named = _search(docs.select("doc_id", "text"), items, window, shingle)
+    return rows.join(_covered(hits), "row_no", "left").join(named, "row_no", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
+
+
+def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, as they are.
+
+    Rows go by a digest of their text: repeated rows and rows without doc_id share the decision
+    of their text, whichever other columns they have.
+    """
+    keyed = docs.withColumn("_digest", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    texts = keyed.select(F.col("_digest").alias("doc_id"), "text")
+    rows, hits, _ = _search(texts, items, window, shingle)
+    dirty = rows.join(hits.select("row_no").distinct(), "row_no", "left_semi").select(F.col("doc_id").alias("_digest")).distinct()
+    return keyed.join(dirty, "_digest", "left_anti").select(*docs.columns)
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row_no, doc_id, n_words), occurrences (row_no, start, n, body), items by row_no."""
     windows = stage(item_windows(items.select("item_id", "text"), window).distinct(), "windows")
     parts = stage(_shingles(windows.select("body", "n").distinct(), shingle), "shingles")
     known = parts.select("k", "h").distinct()
@@ -165,12 +189,6 @@ def with_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW_WORDS,
     ahead = spots.select("row_no", F.col("pos").alias("start"), "k", "ahead")
     same = F.expr("substring_index(ahead, ' ', n)") == F.col("body")
     verified = started.join(ahead, ["row_no", "start", "k"]).where(same).select("row_no", "start", "n", "body")
-    covered = (
-        verified.select("row_no", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word"))
-        .distinct()
-        .groupBy("row_no")
-        .agg(F.count(F.lit(1)).alias("n_hit"))
-    )
     named = (
         verified.select("row_no", "body")
         .distinct()
@@ -180,14 +198,14 @@ def with_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW_WORDS,
         .groupBy("row_no")
         .agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     )
+    return rows.select("row_no", "doc_id", "n_words"), verified, named
+
+
+def _covered(hits: DataFrame) -> DataFrame:
+    """(row_no, n_hit): words inside any occurrence."""
     return (
-        rows.select("row_no", "doc_id", "n_words")
-        .join(covered, "row_no", "left")
-        .join(named, "row_no", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        )
+        hits.select("row_no", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word"))
+        .distinct()
+        .groupBy("row_no")
+        .agg(F.count(F.lit(1)).alias("n_hit"))
     )
