@@ -58,16 +58,18 @@ def _moved(placed: DataFrame, wanted: list[int], turn: int) -> tuple[DataFrame,
         "hub", "need", F.slice(F.array_distinct(F.concat(F.col("ranked.shard"), spread)), F.lit(1), F.col("need")).alias("homes")
     )
     goal = F.get("homes", F.pmod(F.xxhash64("mix", F.lit(turn)), F.col("need")).cast("int"))
-    aimed = placed.join(homes, "hub", "left").select(
+    linked_rows = placed.where("hub is not null").join(homes, "hub").select(
         "row_no",
         "hub",
         "mix",
         "shard",
-        F.when(F.col("homes").isNull() | F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(goal).alias("goal"),
+        F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(goal).alias("goal"),
         # small groups move whole
         F.when(F.col("need") > 1, _chance("mix", F.lit(turn))).otherwise(_chance("hub", F.lit(turn))).alias("chance"),
     )
-    aimed = stage(aimed, "aims")
+    # rows without a hub stay, and are not shuffled to meet on it
+    single_rows = placed.where("hub is null").select("*", F.col("shard").alias("goal"), F.lit(1.0).alias("chance"))
+    aimed = stage(linked_rows.unionByName(single_rows), "aims")
     linked = F.col("hub").isNotNull()
     stay = _per_shard(aimed.where(linked & (F.col("goal") == F.col("shard"))), shards, F.lit(1))
     come = _per_shard(aimed.where("goal <> shard").select(F.col("goal").alias("shard")), shards, F.lit(1))
