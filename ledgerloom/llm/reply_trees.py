@@ -59,11 +59,11 @@ def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         "reach",
     )
     jumps, rows = [], reach.count()
-    while not reach.where("up is not null").isEmpty():
-        jumps.append(reach.where("up is not null").select("tree", "node", "up"))
-        if 1 << len(jumps) > 2 * rows:
-            break
-        above = reach.select(
+    # rows at their root are done; only the others are joined again
+    done, active = reach.where("up is null"), reach.where("up is not null")
+    while not active.isEmpty() and 1 << len(jumps) <= 2 * rows:
+        jumps.append(active.select("tree", "node", "up"))
+        above = done.unionByName(active).select(
             "tree",
             F.col("node").alias("up"),
             F.col("up").alias("further"),
@@ -71,16 +71,17 @@ def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("depth").alias("higher"),
         )
         reach = stage(
-            reach.join(above, ["tree", "up"], "left").select(
+            active.join(above, ["tree", "up"]).select(
                 "tree",
                 "node",
                 F.col("further").alias("up"),
-                (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("higher", F.lit(0))).alias("depth"),
+                (F.col("total") + F.col("more")).alias("total"),
+                (F.col("depth") + F.col("higher")).alias("depth"),
             ),
             "reach",
         )
-    return jumps, reach.where("up is null").select("tree", "node", "total", "depth")
+        done, active = done.unionByName(reach.where("up is null")), reach.where("up is not null")
+    return jumps, done.select("tree", "node", "total", "depth")
 
 
 def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
