@@ -45,7 +45,7 @@ HOT = 1024
 PART_TOKENS = 3_000_000
 LEAST_PARTS = 32
 # Text whose tokens are sorted and sent together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh64_intdigest(b" start"))
