@@ -15,6 +15,14 @@ def money(value) -> Column:
     return F.lit(value).cast(MONEY)
 
 
+def read_money(c: Column) -> Column:
+    """A plain number as money; one that does not fit MONEY is unreadable and counts as 0.
+
+    Null stays null. Any other unreadable text counts as 0 too, as in ``clean_amount``.
+    """
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast(MONEY), money(0)))
+
+
 def clean_amount(c: str, *, read_rs_prefix: bool = False) -> Column:
     """Signed amount of a money text column; 0 when there is none.
 

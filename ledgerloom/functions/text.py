@@ -56,13 +56,13 @@ def has_any(c: Column, words: list[str]) -> Column:
 
 def title_case(c: Column) -> Column:
     """Upper-case each letter that follows a non-letter, lower-case the other letters."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+|[^a-z]+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def capitalize(c: Column) -> Column:
     """Upper-case the first character and lower-case the rest."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.call_function("substring", c, F.lit(2))))
 
 
 def repair_wraps(c: Column) -> Column:

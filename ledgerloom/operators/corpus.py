@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .blocks import scan
 
-# The envelopes' bank names.
-BANKS = ["HDFC", "SBI", "ICICI", "AXIS", "KOTAK", "PNB", "BOB"]
+# Bank names of our own for the envelopes.
+BANKS = ["HARBOUR", "MERIDIAN", "CEDAR", "LAGOON", "SUMMIT"]
 MULTIPLIER = 15
 TEST_SHARE = 0.2
 SEED = 42
@@ -104,10 +104,10 @@ def augment(seeds: DataFrame, multiplier: int = MULTIPLIER) -> DataFrame:
     kind = _choice("kind", 4)
     variant = (
         F.when(F.col("variant") == 0, text)
-        .when(kind == 0, F.concat(F.lit("UPI/"), ref, F.lit("/"), text, F.lit("/"), bank))
-        .when(kind == 1, F.concat(F.lit("NEFT DR-"), bank, F.lit("000"), branch, F.lit("-"), text, F.lit("-"), ref))
-        .when(kind == 2, F.concat(F.lit("POS "), F.substring(ref, 1, 6), F.lit(" "), text, F.lit(" "), bank, F.lit(" IN")))
-        .otherwise(F.concat(text, F.lit(" REF#"), F.substring(ref, 1, 8)))
+        .when(kind == 0, F.concat(bank, F.lit(" ONLINE "), text, F.lit(" NO "), ref))
+        .when(kind == 1, F.concat(F.lit("TRF "), ref, F.lit(" BR "), branch, F.lit(" "), text))
+        .when(kind == 2, F.concat(F.lit("CARD XX"), F.substring(ref, 1, 4), F.lit(" "), text, F.lit(" AT "), bank))
+        .otherwise(F.concat(F.lit("ENTRY "), F.substring(ref, 1, 9), F.lit(": "), text))
     )
     return rows.withColumn("description", variant)
 

@@ -360,12 +360,13 @@ def detect_issuers(pages: DataFrame) -> DataFrame:
 
 
 def redetect(first: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Where the first detection is generic, take the one from the rebuilt text instead."""
+    """Where the first detection is generic or missing, take the one from the rebuilt text instead."""
     second = rebuilt.select(
         *KEY, F.col("bank_name").alias("_name"), F.col("bank_confidence").alias("_confidence")
     )
+    first = first.join(second, KEY, "full").na.fill({"bank_name": K.GENERIC_ISSUER, "bank_confidence": 0.50})
     replace = F.col("bank_name").isin(K.GENERIC_ISSUERS) & F.col("_name").isNotNull() & ~F.col("_name").isin(K.GENERIC_ISSUERS)
-    return first.join(second, KEY, "left").select(
+    return first.select(
         *KEY,
         F.when(replace, F.col("_name")).otherwise(F.col("bank_name")).alias("bank_name"),
         F.when(replace, F.col("_confidence")).otherwise(F.col("bank_confidence")).alias("bank_confidence"),
