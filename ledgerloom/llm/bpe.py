@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 # Characters of text that are encoded together, pieces of one recursive query, and pieces that
 # stay known from one chunk to the next (they are forgotten together when there are more).
 CHUNK_CHARS = 2 << 20
@@ -255,6 +257,8 @@ def coded(text: Column, path: str, pattern: str, *, digests: bool = False) -> Co
     ``pattern`` cuts a text into the pieces that are encoded separately.
     """
 
+    small_batches()
+
     @pandas_udf(DIGESTS if digests else RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(path, pattern)
@@ -271,6 +275,8 @@ def coded(text: Column, path: str, pattern: str, *, digests: bool = False) -> Co
 def decoded(ids: Column, path: str, pattern: str) -> Column:
     """The bytes of token lists written as by ``coded``; null for null."""
 
+    small_batches()
+
     @pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(path, pattern)

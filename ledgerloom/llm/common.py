@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Texts that are sent to a Python worker together; with longer texts the default of 10,000 is much.
+BATCH_TEXTS = 1_000
+
+
+def small_batches() -> None:
+    """Bound the rows of an Arrow batch of texts in the active session, if it allows more."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_TEXTS:
+        conf.set(key, str(BATCH_TEXTS))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone; every other character stays as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

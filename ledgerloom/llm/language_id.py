@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 UNKNOWN = "und"
 ORDER = 4
 # Bytes of labelled text that a language is learned from, at most, and languages at most. The
@@ -28,7 +30,7 @@ SAMPLE_BYTES = 1_500_000
 LANGUAGES = 200
 # Bytes scored together, and bounds of the table of known grams: slots as a power of two, bytes.
 CHUNK_BYTES = 1 << 20
-SLOT_BITS = 21
+SLOT_BITS = 20
 TABLE_BYTES = 64 << 20
 RESULT = "lang_pred string, score double, bits double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -248,6 +250,7 @@ def predicted(text: Column, spark: SparkSession, model: Model) -> Column:
     all, so 1 over the number of languages when they tell nothing. A text that is null or has no
     letter is ``und`` with score 0, as is every text when the model knows no language.
     """
+    small_batches()
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf(RESULT)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import stage
+from .common import small_batches
 from .components import components
 
 SEED = 42
@@ -53,6 +54,8 @@ def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
 def fingerprint(text: Column, shingle_words: int = 3) -> Column:
     """The fingerprint as a signed long with the same bits; a null text has none set."""
 
+    small_batches()
+
     @pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -176,6 +179,7 @@ def sketch_of(text: str | None, shingle_words: int = 5) -> tuple[int, ...]:
 
 
 def sketches(text: Column, shingle_words: int = 5) -> Column:
+    small_batches()
     names = ["fp", *[f"w{i}" for i in range(WIDE)]]
 
     @pandas_udf(", ".join(f"{n} long" for n in names))
