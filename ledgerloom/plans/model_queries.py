@@ -84,11 +84,11 @@ def _hex(salt: str, digits: int) -> str:
     "augment_corpus",
     f"""with x as (select txn_id, description, unnest(range(0, 6)) as variant from ledger),
    y as (select txn_id, variant, description as d, lpad(cast({_hex('ref', 12)} % 1000000000000 as varchar), 12, '0') as ref,
-     (['HDFC', 'SBI', 'ICICI', 'AXIS', 'KOTAK', 'PNB', 'BOB'])[{_hex('bank', 8)} % 7 + 1] as bank,
+     (['HARBOUR', 'MERIDIAN', 'CEDAR', 'LAGOON', 'SUMMIT'])[{_hex('bank', 8)} % 5 + 1] as bank,
      cast({_hex('branch', 8)} % 900 + 100 as varchar) as branch, {_hex('kind', 8)} % 4 as kind from x)
-   select txn_id, cast(variant as integer) as variant, case when variant = 0 then d when kind = 0 then 'UPI/' || ref || '/' || d || '/' || bank
-     when kind = 1 then 'NEFT DR-' || bank || '000' || branch || '-' || d || '-' || ref
-     when kind = 2 then 'POS ' || ref[1:6] || ' ' || d || ' ' || bank || ' IN' else d || ' REF#' || ref[1:8] end as description from y""",
+   select txn_id, cast(variant as integer) as variant, case when variant = 0 then d when kind = 0 then bank || ' ONLINE ' || d || ' NO ' || ref
+     when kind = 1 then 'TRF ' || ref || ' BR ' || branch || ' ' || d
+     when kind = 2 then 'CARD XX' || ref[1:4] || ' ' || d || ' AT ' || bank else 'ENTRY ' || ref[1:9] || ': ' || d end as description from y""",
 )
 def q_augment(spark, sf_dir):
     seeds = entries(spark, sf_dir).select("txn_id", "description")

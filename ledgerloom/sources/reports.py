@@ -145,17 +145,16 @@ def result_name(base):
     return F.concat(base, F.lit("_classified"))
 
 
-def _by_statement(df: DataFrame, buckets: int) -> DataFrame:
+def _by_statement(df: DataFrame) -> DataFrame:
     """Spread rows so that one statement is written by many tasks when it is large."""
-    return df.repartitionByRange(buckets, "statement_id", "row_no").sortWithinPartitions(
-        "statement_id", "row_no"
-    )
+    return df.repartitionByRange("statement_id", "row_no").sortWithinPartitions("statement_id", "row_no")
 
 
-def write_csv(ledger: DataFrame, path: str, *, files: int = 64) -> None:
+def write_csv(ledger: DataFrame, path: str, *, rows_per_file: int = 1_000_000) -> None:
     """CSV with header. Range partitioning on (statement, row) keeps a statement's rows together,
     yet cuts a large one over several files; folders per statement would not scale to millions."""
-    _by_statement(csv_rows(ledger), files).write.mode("overwrite").option("header", True).csv(path)
+    rows = _by_statement(csv_rows(ledger))
+    rows.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def write_report(sheets: dict[str, DataFrame], path: str) -> None:
