@@ -228,6 +228,10 @@ GENERIC_ISSUERS = ["Generic Bank", "Generic / Other Bank", GENERIC_ISSUER]
 TEXT_DOCUMENT = "Text-based PDF"
 IMAGE_DOCUMENT = "Image-based PDF (OCR)"
 LOCKED_DOCUMENT = "Password-Protected PDF"
+LOCKED_BANK = "Encrypted / Password Protected"
+LOCKED_NOTE = (
+    "This PDF bank statement is password-protected. Please unlock or decrypt the PDF before processing."
+)
 MIN_PAGE_CHARS = 60
 SAMPLE_CHARS = 3000
 

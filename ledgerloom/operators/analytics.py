@@ -29,7 +29,11 @@ def _spent(condition: Column | None = None) -> Column:
 
 def totals(ledger: DataFrame) -> DataFrame:
     """Sums, net, count and the average debit over rows that have one (0 when none has)."""
-    return ledger.groupBy(STATEMENT).agg(
+    return ledger.groupBy(STATEMENT).agg(*_total_columns())
+
+
+def _total_columns() -> list[Column]:
+    return [
         F.sum("debit").alias("total_debits"),
         F.sum("credit").alias("total_credits"),
         (F.sum("credit") - F.sum("debit")).alias("net_cash_flow"),
@@ -37,7 +41,7 @@ def totals(ledger: DataFrame) -> DataFrame:
         F.coalesce(
             F.sum(_spent()).cast("double") / F.nullif(F.count(_spent()), F.lit(0)), F.lit(0.0)
         ).alias("avg_debit"),
-    )
+    ]
 
 
 def category_summary(ledger: DataFrame) -> DataFrame:
@@ -103,17 +107,19 @@ def monthly_trend(ledger: DataFrame) -> DataFrame:
 
 def balance_health(ledger: DataFrame) -> DataFrame:
     """Verified rows, all rows and their share; a missing flag counts as verified."""
+    counted = ledger.groupBy(STATEMENT).agg(*_health_columns())
+    return counted.withColumn("percentage", _percent(F.col("verified"), F.col("total")))
+
+
+def _health_columns() -> list[Column]:
     verified = F.sum(F.coalesce(F.col("balance_verified"), F.lit(True)).cast("long"))
-    return (
-        ledger.groupBy(STATEMENT)
-        .agg(verified.alias("verified"), F.count(F.lit(1)).alias("total"))
-        .withColumn("percentage", _percent(F.col("verified"), F.col("total")))
-    )
+    return [verified.alias("verified"), F.count(F.lit(1)).alias("total")]
 
 
 def report_for_all(statements: DataFrame, ledger: DataFrame) -> DataFrame:
     """Totals and health of every known statement; one without rows gets zeros and 100 %."""
-    summed = totals(ledger).join(balance_health(ledger), STATEMENT)
+    summed = ledger.groupBy(STATEMENT).agg(*_total_columns(), *_health_columns())
+    summed = summed.withColumn("percentage", _percent(F.col("verified"), F.col("total")))
     zero = F.lit(0)
     return statements.join(summed, STATEMENT, "left").select(
         STATEMENT,

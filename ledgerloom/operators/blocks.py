@@ -112,19 +112,6 @@ def scan(
     )
 
 
-def attach_by_block(
-    df: DataFrame, facts: DataFrame, keys: Sequence[str], *, block: str = "block", how: str = "inner"
-) -> DataFrame:
-    """Attach one row of facts per key to the rows of that key, block by block.
-
-    Joining on the key alone would pile a hot key into one task. The facts are copied to the
-    blocks a key has instead, and the join runs on (key, block), which is also the layout the
-    block windows need afterwards.
-    """
-    blocks = df.select(*keys, block).distinct()
-    return df.join(blocks.join(facts, list(keys), how), [*keys, block], "inner")
-
-
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

@@ -96,8 +96,3 @@ def search(labelled: DataFrame, text: str = "", category: str = "All", kind: str
     if category != "All":
         out = out.where(F.col("category") == category)
     return out
-
-
-def categories(spark) -> DataFrame:
-    """The category list as a small dimension table."""
-    return spark.createDataFrame(list(enumerate(K.CATEGORIES, 1)), "position int, category string")

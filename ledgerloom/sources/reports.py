@@ -140,11 +140,6 @@ def nested_result(ledger: DataFrame, statements: DataFrame, *, part_rows: int =
     )
 
 
-def result_name(base):
-    """Output name of a statement: its base name with ``_classified``."""
-    return F.concat(base, F.lit("_classified"))
-
-
 def _by_statement(df: DataFrame) -> DataFrame:
     """Spread rows so that one statement is written by many tasks when it is large."""
     return df.repartitionByRange("statement_id", "row_no").sortWithinPartitions("statement_id", "row_no")
@@ -181,6 +176,3 @@ LEDGER_JSON = (
 def ledger_from_json(texts: DataFrame, schema: str = LEDGER_JSON) -> DataFrame:
     """Typed ledger rows from JSON texts; a malformed row fails the job."""
     return texts.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-
-
-DOCUMENT_TYPES = (K.TEXT_DOCUMENT, K.IMAGE_DOCUMENT, K.LOCKED_DOCUMENT)
