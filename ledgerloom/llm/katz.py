@@ -42,7 +42,7 @@ LARGE = 5
 TAIL = 0.01
 HOT = 1024
 # Tokens of one partition of bigrams, on average, and partitions at least.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 LEAST_PARTS = 32
 # Text whose tokens are sorted and sent together.
 BATCH_BYTES = 6 << 20
@@ -305,14 +305,17 @@ def _meet(words: Words):
     def use(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["seq"].to_pylist(), table["data"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
         out = [("docs", seq, 0, data) for kind, _, seq, data in rows if kind == "docs"]
+        part = next((p for kind, p, *_ in rows if kind == "pairs"), None)
         sent = [(seq, *_opened(data)) for kind, _, seq, data in rows if kind == "pairs"]
+        del rows
         if sent:
-            part = next(p for kind, p, *_ in rows if kind == "pairs")
-            w, h = (np.concatenate([s[i] for s in sent]) for i in (1, 2))
-            trained = np.concatenate([s[3] for s in sent]).astype(np.float64)
+            w, h, trained = (np.concatenate([s[i] for s in sent]) for i in (1, 2, 3))
+            # what is gathered is not kept batch by batch as well
+            sent = [(seq, len(own), *rest) for seq, own, _, __, *rest in sent]
             pairs, first, at = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
             count = np.bincount(at, trained, len(pairs))
             pw, ph = w[first], h[first]
+            del w, h, trained, first
             rare, rare_at = np.unique(pw, return_inverse=True)
             word_count = np.bincount(rare_at, count, len(rare))
             hot_count, is_hot = _lookup(words.hot, words.hot_counts, rare)
@@ -324,9 +327,9 @@ def _meet(words: Words):
             base = np.log10(word_count + 1)
             gaps = []
             start = 0
-            for seq, sw, _, __, held_by, docs, times, size in sent:
-                mine = np.repeat(at[start : start + len(sw)], held_by)
-                start += len(sw)
+            for seq, n_pairs, held_by, docs, times, size in sent:
+                mine = np.repeat(at[start : start + n_pairs], held_by)
+                start += n_pairs
                 sums = [np.bincount(docs, times * v[mine], size) for v in (bits, base, word_count > 0)]
                 low = [_small(np.bincount(docs, times * (count[mine] == r), size)) for r in range(1, LARGE + 1)]
                 out.append(("sums", seq, part, pack(*sums, *low)))
