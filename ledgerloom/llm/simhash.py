@@ -209,9 +209,9 @@ def deduplicate(docs: DataFrame, *, radius: int = 3, shingle_words: int = 5, apa
     rooted = stage(
         classes.join(groups(found, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "classes"
     )
-    first = rooted.groupBy("root").agg(F.min_by(F.struct(*wide), "least").alias("first"))
+    first = rooted.groupBy("root").agg(F.min_by(F.struct("least", *wide), "least").alias("first"))
     distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("first")[w])) for w in wide), F.lit(0))
     nearest = rooted.join(first, "root").withColumn("distance", distance)
-    kept = nearest.where((F.col("distance") == 0) | (F.col("distance") > apart)).select(F.col("least").alias("doc_id"))
+    kept = nearest.where((F.col("least") == F.col("first.least")) | (F.col("distance") > apart)).select(F.col("least").alias("doc_id"))
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -104,3 +104,13 @@ def test_null_ids_and_empty_table(spark):
     assert got == [("3", "3"), ("4", "4"), ("None", "None"), ("None", "None")]
     assert sorted(str(r.doc_id) for r in s.deduplicate(docs).collect()) == ["3", "4", "None", "None"]
     assert s.with_components(docs.limit(0)).count() == 0
+
+
+def test_one_word_changed_in_very_long_texts(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(6000)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:-1] + ["changed"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert {r.doc_id for r in s.deduplicate(docs).select("doc_id").collect()} == {10 * g for g in range(40)}
