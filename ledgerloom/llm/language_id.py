@@ -9,7 +9,6 @@ code lengths of all bytes of a text are summed, and the language with the shorte
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import stage
 from .common import small_batches
 
 UNKNOWN = "und"
 ORDER = 4
-# Bytes of labelled text that a language is learned from, at most, and languages at most. The
-# rest of the corpus plays no part in the model, however large it is.
+# Bytes of labelled text that a language is learned from, at most, and languages for which that
+# much is taken; more share what these may hold. The rest of the corpus plays no part in the
+# model, however large it is.
 SAMPLE_BYTES = 1_500_000
 LANGUAGES = 200
+# Bits of the hash that orders the texts of a sample, and bits by which its ranges get smaller.
+PLACE_BITS, STEP_BITS = 63, 10
 # Bytes scored together, and bounds of the table of known grams: slots as a power of two, bytes.
 CHUNK_BYTES = 1 << 20
 SLOT_BITS = 20
@@ -209,38 +212,84 @@ class Model:
         return out
 
 
-def _order(raw: bytes) -> tuple[int, bytes]:
-    return zlib.crc32(raw), raw
+def _cuts(texts: DataFrame, sample_bytes: int) -> dict[str, int]:
+    """For each language the last hash of its sample; ``texts`` are its distinct (lang, place, size).
+
+    Bytes are summed in the order of the hashes, by ever smaller ranges of them, until the range
+    in which the sum reaches ``sample_bytes`` holds one text or little more than is needed.
+    """
+    spark, cuts = texts.sparkSession, {}
+    opened: dict[str, tuple[int, int]] | None = None  # begin of the range, bytes before it
+    width = PLACE_BITS
+    for shift in range(PLACE_BITS - STEP_BITS, -STEP_BITS, -STEP_BITS):
+        shift = max(0, shift)
+        some = texts
+        if opened is not None:
+            begins = spark.createDataFrame([(x, lo, lo + (1 << width)) for x, (lo, _) in opened.items()], "lang string, lo long, hi long")
+            some = texts.join(F.broadcast(begins), "lang").where("place >= lo and place < hi")
+        part = F.shiftrightunsigned("place", shift).alias("part")
+        found = some.groupBy("lang", part).agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("n")).collect()
+        following: dict[str, tuple[int, int]] = {}
+        taken = {x: before for x, (_, before) in (opened or {}).items()}
+        for r in sorted(found, key=lambda r: (r.lang, r.part)):
+            before = taken.get(r.lang, 0)
+            if before >= sample_bytes:
+                continue
+            taken[r.lang] = before + r.held
+            if taken[r.lang] < sample_bytes or r.n == 1 or r.held <= sample_bytes or not shift:
+                cuts[r.lang] = ((r.part + 1) << shift) - 1
+            else:
+                following[r.lang] = (r.part << shift, before)
+        if not following:
+            break
+        opened, width = following, shift
+    return cuts
 
 
 def train(labelled: DataFrame, *, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from rows (lang, text); rows with a null are left out, each language is sampled.
 
-    The sample of a language takes rows by a hash of their text, as many as make up about
-    ``sample_bytes``, and ends at that many bytes. At most LANGUAGES languages are told apart,
-    those with most text. Without rows the model knows no language.
+    The sample of a language takes its distinct texts in the order of a hash, each once, until
+    they make up ``sample_bytes``; the last one is cut. Every language has at least one text.
+    With more than LANGUAGES languages each is learned from less, so that all of them together
+    are bounded. Without rows the model knows no language.
     """
     rows = labelled.select("lang", "text").where("lang is not null and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("held"))
-    held = {r.lang: r.held for r in sizes.orderBy(F.desc("held"), "lang").limit(LANGUAGES).collect()}
-    if not held:
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 64 - PLACE_BITS)
+    texts = stage(
+        rows.select("lang", place.alias("place"), F.octet_length("text").alias("size")).groupBy("lang", "place").agg(F.max("size").alias("size")),
+        "sample",
+    )
+    known = texts.select("lang").distinct().count()
+    if not known:
         return Model({})
-    share = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, sample_bytes / n))])
-    chance = (F.xxhash64(F.lit("sample"), "text").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    sample = rows.where(F.coalesce(chance < share[F.col("lang")], F.lit(False)))
+    sample_bytes = max(1, min(sample_bytes, sample_bytes * LANGUAGES // known))
+    cuts = _cuts(texts.withColumn("size", F.least("size", F.lit(sample_bytes))), sample_bytes)
+    limits = F.broadcast(texts.sparkSession.createDataFrame(list(cuts.items()), "lang string, last long"))
+    # a character has a byte at least
+    begin = F.substring("text", 1, sample_bytes).alias("text")
+    sample = (
+        rows.select("lang", place.alias("place"), begin)
+        .join(limits, "lang")
+        .where("place <= last")
+        .groupBy("lang", "place")
+        .agg(F.min("text").alias("text"))
+    )
 
     def cut(batch: pa.Table) -> pa.Table:
-        raws = sorted((t.encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()), key=_order)
         taken, left = [], sample_bytes
-        for raw in raws:
-            taken.append(raw[:left])
+        for _, text in sorted(zip(batch["place"].to_pylist(), batch["text"].to_pylist(), strict=True)):
+            taken.append(text.encode("utf-8", "surrogatepass")[:left])
             left -= len(taken[-1])
             if not left:
                 break
         return pa.table({"lang": [batch["lang"][0].as_py()], "texts": pa.array([taken], pa.list_(pa.binary()))})
 
     drawn = sample.groupBy("lang").applyInArrow(cut, "lang string, texts array<binary>").collect()
-    return Model({r.lang: Tree.fit([bytes(t) for t in r.texts]) for r in drawn})
+    model = Model({r.lang: Tree.fit([bytes(t) for t in r.texts]) for r in drawn})
+    if len(model.languages) != known:
+        raise RuntimeError(f"{known} languages are labelled, {len(model.languages)} were learned")
+    return model
 
 
 def predicted(text: Column, spark: SparkSession, model: Model) -> Column:

@@ -82,6 +82,33 @@ def test_the_sample_is_bounded(spark):
     assert model.trees[0].counts[0].sum() <= 2000
 
 
+def test_every_language_is_learned_from_distinct_texts(spark):
+    rng = random.Random(4)
+    rows = [(f"long{i}", words(rng, "abcdefg", 5000)) for i in range(8)]  # one text of ten samples each
+    rows += [(f"copy{i}", f"text {i} " + words(rng, "hijklm", 100)) for i in range(8)] * 60
+    rows += [("hot", "the same " * 30)] * 400 + [("hot", f"other {i} " * 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = li.train(docs, sample_bytes=2000)
+    assert model.languages == sorted({lang for lang, _ in rows})
+    sizes = {x: t.counts[0].sum() for x, t in zip(model.languages, model.trees, strict=True)}
+    once = {x: sum(len(t) for t in {t for lang, t in rows if lang == x}) for x in model.languages}
+    assert sizes == {x: min(2000, n) for x, n in once.items()}
+
+
+def test_ranges_shrink_to_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(li, "STEP_BITS", 2)
+    docs = spark.createDataFrame([(f"l{i % 3}", f"word{i} " * 50) for i in range(600)], "lang string, text string")
+    model = li.train(docs, sample_bytes=2000)
+    assert [t.counts[0].sum() for t in model.trees] == [2000] * 3
+
+
+def test_more_languages_share_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(li, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(f"l{i}", f"word{i} " * 50) for i in range(8)], "lang string, text string")
+    model = li.train(docs, sample_bytes=200)
+    assert [t.counts[0].sum() for t in model.trees] == [50] * 8
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = op3_language_id(spark, sf).where("held_out")
