@@ -18,7 +18,9 @@ from ..functions.text import capitalize, find, has_any, let, strip, title_case
 from .years import chosen_year, first_hits, joined_head
 
 KEY = ["statement_id"]
-BORDER_LINES = 3
+# Three lines at least, and lines until they hold 120 characters that are no white space: more
+# than any pattern takes on one side, apart from the free words after "balance ... on".
+BORDER = r"^(?:[^\n]*\n){0,2}(?:\s*\S){0,120}[^\n]*"
 QUICK_PAGES = 3
 
 # Account number patterns in the order they are tried.
@@ -94,10 +96,11 @@ HEADER_LINES, HEADER_LINE_CHARS = 15, 85
 def searched_texts(pages: DataFrame) -> DataFrame:
     """Pages and page borders as ``(statement_id, place, text)``.
 
-    A border holds the last lines of a page and the first lines of the next one; its place
-    lies between theirs. Only these few lines are shuffled to bring them together.
+    A border holds the last lines of a page and the first lines of the next one, with any blank
+    lines among them; its place lies between theirs. Only these lines are shuffled to bring
+    them together.
     """
-    lines = F.split("text", "\n")
+    border = lambda text: F.regexp_extract(text, BORDER, 0)
     ends = pages.select(
         *KEY,
         F.explode(
@@ -105,18 +108,18 @@ def searched_texts(pages: DataFrame) -> DataFrame:
                 F.struct(
                     F.col("page_no").alias("page_no"),
                     F.lit(0).alias("side"),
-                    F.slice(F.reverse(lines), 1, BORDER_LINES).alias("lines"),
+                    F.reverse(border(F.reverse("text"))).alias("text"),
                 ),
                 F.struct(
                     (F.col("page_no") - 1).alias("page_no"),
                     F.lit(1).alias("side"),
-                    F.slice(lines, 1, BORDER_LINES).alias("lines"),
+                    border(F.col("text")).alias("text"),
                 ),
             )
         ).alias("e"),
     ).where("NOT (e.side = 1 AND e.page_no = 0)")
-    end = F.max(F.when(F.col("e.side") == 0, F.col("e.lines")))
-    begin = F.max(F.when(F.col("e.side") == 1, F.col("e.lines")))
+    end = F.max(F.when(F.col("e.side") == 0, F.col("e.text")))
+    begin = F.max(F.when(F.col("e.side") == 1, F.col("e.text")))
     borders = (
         ends.groupBy(*KEY, F.col("e.page_no").alias("page_no"))
         .agg(end.alias("before"), begin.alias("after"))
@@ -127,7 +130,7 @@ def searched_texts(pages: DataFrame) -> DataFrame:
         borders.select(
             *KEY,
             (F.col("page_no") * 2 + 1).cast("long").alias("place"),
-            F.array_join(F.concat(F.reverse("before"), F.col("after")), "\n").alias("text"),
+            F.concat_ws("\n", "before", "after").alias("text"),
         )
     )
 

@@ -235,6 +235,14 @@ def test_match_over_a_page_border(spark):
     )
 
 
+def test_blank_lines_and_many_lines_at_a_page_border(spark):
+    blank = as_pages(spark, "First page\nAccount Number:" + "\n \n" * 6, "\n\n \t\n\n12345678\nOpening\nBalance\n:\n", "\n" * 9 + "Rs. 1,250.50\nend")
+    got = metadata.account_details(blank, default_year=YEAR).first()
+    assert (got.account_number, float(got.opening_balance)) == ("12345678", 1250.5)
+    apart = as_pages(spark, "x\nBeginning\nBalance\non\nJune", "5\n,\n\n2017\nend")
+    assert metadata.statement_years(apart).first().statement_year == 2017
+
+
 def test_head_text_over_many_short_pages(spark):
     texts = [f"p{i}" for i in range(30)]
     got = metadata.head_text(as_pages(spark, *texts), 50).first().head
