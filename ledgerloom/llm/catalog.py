@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_text, queries_web
+from . import queries_index, queries_text, queries_web
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_web.QUERIES, **queries_text.QUERIES}
-ORACLES: dict[str, str] = {**queries_web.ORACLES, **queries_text.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_web.QUERIES, **queries_text.QUERIES, **queries_index.QUERIES}
+ORACLES: dict[str, str] = {**queries_web.ORACLES, **queries_text.ORACLES, **queries_index.ORACLES}
