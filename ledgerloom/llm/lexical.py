@@ -248,7 +248,7 @@ def search_shard(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Bes
         return 0
     at = _spread(shard.column[terms], shard.column[terms + 1])
     worth = np.repeat(weights, shard.column[terms + 1] - shard.column[terms]).astype(np.float64)
-    bound = np.bincount(shard.cells[at], worth * shard.tops[at], len(shard.held) - 1)
+    bound = np.bincount(shard.cells[at], worth * shard.tops[at], len(shard.held) - 1).astype(np.float64)
     bound[shard.bare] = np.inf
     order = np.argsort(-bound[blocks], kind="stable")
     blocks = blocks[order]

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -72,16 +73,65 @@ def looks_live(value: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= LIVE_BITS
 
 
+# Bytes of which every match has LONG_RUN in a row, but for those of ``assign`` and ``login``.
+_RUN_BYTES = np.zeros(256, bool)
+_RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.~=")] = True
+LONG_RUN = 16
+_SEPARATOR = re.compile("[:=]")
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
+def _names_value(text: str) -> bool:
+    """Whether some name stands before a separator, as every match of ``assign`` needs."""
+    for m in _SEPARATOR.finditer(text):
+        at = m.start()
+        while at and text[at - 1] == " ":
+            at -= 1
+        if at and text[at - 1] in "\"'":
+            at -= 1
+        if text[max(0, at - 8) : at].lower().endswith(_NAMES):
+            return True
+    return False
+
+
+def _may_be_issued(text: str) -> bool:
+    return "_" in text or "glpat-" in text or "xox" in text
+
+
+# What a text must have besides a long run; the patterns decide.
+_GATES = {"assign": _names_value, "login": lambda text: "://" in text, "issued": _may_be_issued}
+_WITHOUT_RUN = ("assign", "login")
+
+
+def suspects(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text whether it (or its neighbour) has a long run, and a separator; on the bytes of all texts."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    breaks = np.concatenate([[-1], np.flatnonzero(~_RUN_BYTES[raw]), [len(raw)]])
+    gaps = np.flatnonzero(np.diff(breaks) > LONG_RUN)
+    run = np.zeros(len(texts) + 1, np.int64)
+    np.add.at(run, np.searchsorted(bounds, breaks[gaps] + 1, side="right") - 1, 1)
+    np.add.at(run, np.searchsorted(bounds, breaks[gaps + 1] - 1, side="right"), -1)
+    parts = np.flatnonzero((raw == 58) | (raw == 61))
+    parted = np.zeros(len(texts), bool)
+    parted[np.searchsorted(bounds, parts, side="right") - 1] = True
+    return np.cumsum(run)[:-1] > 0, parted
+
+
 class Scanner:
     """The compiled patterns of all kinds, for one task."""
 
     def __init__(self, kinds: tuple[Kind, ...]) -> None:
-        self.kinds = [(k, re.compile(k.pattern)) for k in kinds]
+        self.kinds = [(i, k, re.compile(k.pattern), _GATES.get(k.name)) for i, k in enumerate(kinds)]
 
-    def find(self, text: str) -> list[dict]:
+    def find(self, text: str, long_run: bool = True) -> list[dict]:
         """All matches of each kind, leftmost and not overlapping, by start and then by kind."""
         found = []
-        for number, (kind, pattern) in enumerate(self.kinds):
+        for number, kind, pattern, gate in self.kinds:
+            if (gate and not gate(text)) or not (long_run or kind.name in _WITHOUT_RUN):
+                continue
             for m in pattern.finditer(text):
                 a, b = m.span(kind.group)
                 if b - a >= kind.least:
@@ -98,11 +148,20 @@ class Scanner:
         found.sort(key=lambda x: (x["start"], x["kind"]))
         return found
 
+    def find_all(self, texts: pa.Array) -> Iterator[list[dict]]:
+        """``find`` for every text; only those that may hold something are read."""
+        if not len(texts):
+            return
+        long_run, parted = suspects(texts)
+        for at, (run, part) in enumerate(zip(long_run.tolist(), parted.tolist(), strict=True)):
+            text = texts[at].as_py() if run or part else None
+            yield self.find(text, run) if text else []
+
 
 def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + WIDER) -> DataFrame:
     """``docs`` with ``text`` replaced by ``found``, the candidates of all kinds (see FOUND).
 
-    A null text counts as empty. Texts are read whole; Arrow batches are cut by bytes.
+    A null text counts as empty. Texts are read whole; results leave in batches of bounded size.
     """
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], f"found {FOUND}"])
@@ -111,8 +170,7 @@ def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + WIDER) -> DataF
         scanner = Scanner(kinds)
         for rows in batches:
             found, held, begin = [], 0, 0
-            for at, text in enumerate(rows["text"]):
-                one = scanner.find(text.as_py() or "")
+            for at, one in enumerate(scanner.find_all(rows["text"])):
                 found.append(one)
                 held += 64 * len(one)
                 if held > BATCH_BYTES:
