@@ -30,9 +30,9 @@ _SQL_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 QUERY_TERMS = 200_000
 # Documents and postings of a shard, documents of a block on average, and the least that are summarised:
 # scoring fewer is cheaper than bounding them.
-SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 20
-BLOCK_DOCS = 128
-SUMMARY_DOCS = 16
+SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 19
+BLOCK_DOCS = 256
+SUMMARY_DOCS = 64
 # Dimensions and seed of the random projection by which documents are compared.
 SKETCH, SEED = 16, 12
 # Blocks of the first wave; each wave takes twice as many as the one before.
@@ -130,11 +130,15 @@ class Shard:
         return np.diff(self.held) < SUMMARY_DOCS
 
     def pack(self) -> bytes:
-        return pack(*(getattr(self, f) for f in self.__dataclass_fields__))
+        """All arrays, the ascending cells of a column as steps."""
+        steps = np.diff(self.cells, prepend=self.cells.dtype.type(0))
+        return pack(*(steps if f == "cells" else getattr(self, f) for f in self.__dataclass_fields__))
 
     @classmethod
     def unpack(cls, data: bytes) -> Shard:
-        return cls(*unpack(data))
+        shard = cls(*unpack(data))
+        shard.cells = np.cumsum(shard.cells, dtype=shard.cells.dtype)
+        return shard
 
 
 def _clusters(members: np.ndarray, sketches: np.ndarray) -> np.ndarray:
@@ -165,55 +169,58 @@ def make_shard(ids, missing, n, sizes, terms, tfs, known: Statistics, projection
     held = np.append(begins, len(term)).astype(np.int64)
     first = np.searchsorted(term[begins], np.arange(count + 1))
     greatest = np.zeros(count, np.int64)
-    cells, of, tops = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    cells, of, tops = ([np.empty(0, np.int32)] for _ in range(3))
     for b in np.flatnonzero(np.diff(held) >= SUMMARY_DOCS):
         own = member[held[b] : held[b + 1]]
         at = _spread(ptr[own], ptr[own + 1])
         np.maximum.at(greatest, terms[at], impacts[at])
         seen = np.flatnonzero(greatest)
-        of.append(seen)
-        tops.append(greatest[seen])
-        cells.append(np.full(len(seen), b))
+        of.append(seen.astype(np.int32))
+        tops.append(greatest[seen].astype(np.int32))
+        cells.append(np.full(len(seen), b, np.int32))
         greatest[seen] = 0
     of, cells, tops = (np.concatenate(x) for x in (of, cells, tops))
     by_term = np.argsort(of, kind="stable")
     column = np.searchsorted(of[by_term], np.arange(count + 1))
     return Shard(
         ids, missing, ptr, terms.astype(np.int32), impacts.astype(np.int32), first.astype(np.int64), held,
-        member.astype(np.int32), column.astype(np.int64), cells[by_term].astype(np.int32), tops[by_term].astype(np.int32),
+        member.astype(np.int32), column.astype(np.int64), cells[by_term], tops[by_term],
     )
 
 
+def _shards(batches: Iterator[pa.RecordBatch], known: Statistics) -> Iterator[Shard]:
+    """Shards over neighbouring rows of ``forward``, one after the other."""
+    projection = np.random.default_rng(SEED).choice([-1.0, 1.0], (len(known.weights), SKETCH))
+
+    def made(some: list[pa.RecordBatch]) -> Shard:
+        whole = pa.Table.from_batches(some).combine_chunks()
+        ids, terms, tfs = whole["doc_id"], whole["terms"].combine_chunks(), whole["tfs"].combine_chunks()
+        return make_shard(
+            ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), whole["n"].to_numpy(),
+            np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), tfs.flatten().to_numpy(), known, projection,
+        )
+
+    waiting: list[pa.RecordBatch] = []
+    docs = postings = 0
+    for batch in batches:
+        sizes, begin = np.diff(batch["terms"].offsets.to_numpy()), 0
+        for at, size in enumerate(sizes.tolist(), 1):
+            docs, postings = docs + 1, postings + size
+            if docs == SHARD_DOCS or postings >= SHARD_POSTINGS:
+                yield made([*waiting, batch.slice(begin, at - begin)])
+                waiting, begin, docs, postings = [], at, 0, 0
+        if begin < len(sizes):
+            waiting.append(batch.slice(begin))
+    if waiting:
+        yield made(waiting)
+
+
 def index(rows: DataFrame, known: Statistics) -> DataFrame:
-    """(shard): packed shards over all rows of ``forward`` that hold a query term."""
+    """(shard): packed shards over all rows of ``forward`` that hold a query term, to be kept and searched again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection = np.random.default_rng(SEED).choice([-1.0, 1.0], (len(known.weights), SKETCH))
-        waiting: list[pa.RecordBatch] = []
-
-        def made() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(waiting).combine_chunks()
-            ids, terms, tfs = whole["doc_id"], whole["terms"].combine_chunks(), whole["tfs"].combine_chunks()
-            shard = make_shard(
-                ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), whole["n"].to_numpy(),
-                np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), tfs.flatten().to_numpy(), known, projection,
-            )
-            return pa.RecordBatch.from_arrays([pa.array([shard.pack()], pa.binary())], ["shard"])
-
-        docs = postings = 0
-        for batch in batches:
-            sizes = np.diff(batch["terms"].offsets.to_numpy())
-            begin = 0
-            for at, size in enumerate(sizes.tolist(), 1):
-                docs, postings = docs + 1, postings + size
-                if docs == SHARD_DOCS or postings >= SHARD_POSTINGS:
-                    waiting.append(batch.slice(begin, at - begin))
-                    yield made()
-                    waiting, begin, docs, postings = [], at, 0, 0
-            if begin < len(sizes):
-                waiting.append(batch.slice(begin))
-        if waiting:
-            yield made()
+        for shard in _shards(batches, known):
+            yield pa.RecordBatch.from_arrays([pa.array([shard.pack()], pa.binary())], ["shard"])
 
     return rows.where(F.size("terms") > 0).mapInArrow(run, "shard binary")
 
@@ -272,16 +279,20 @@ def search_shard(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Bes
     return scored
 
 
-def _search(shards: DataFrame, items: list[tuple[object, np.ndarray]], known: Statistics, places: int, kind: str) -> DataFrame:
-    """Each task's best documents of every item (item_id, doc_id, score)."""
+def _search(rows: DataFrame, items: list[tuple[object, np.ndarray]], known: Statistics, places: int, kind: str) -> DataFrame:
+    """Each task's best documents of every item (item_id, doc_id, score).
+
+    ``rows`` are those of ``forward`` or of ``index``. Shards of the former are dropped once they
+    are searched: their summaries are larger than what they are made of.
+    """
+    packed = rows.columns == ["shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [(t[known.weights[t] > 0], Best(places)) for _, t in items]
-        for batch in batches:
-            for data in batch["shard"]:
-                shard = Shard.unpack(data.as_py())
-                for terms, best in asked:
-                    search_shard(shard, terms, known.weights[terms], best)
+        kept = (Shard.unpack(data.as_py()) for batch in batches for data in batch["shard"])
+        for shard in kept if packed else _shards(batches, known):
+            for terms, best in asked:
+                search_shard(shard, terms, known.weights[terms], best)
         sizes = [len(best.ids) for _, best in asked]
         if sum(sizes):
             ids = [None if m else i for _, best in asked for i, m in zip(best.ids.tolist(), best.missing, strict=True)]
@@ -289,7 +300,8 @@ def _search(shards: DataFrame, items: list[tuple[object, np.ndarray]], known: St
             names = [item for (item, _), size in zip(items, sizes, strict=True) for _ in range(size)]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["item_id", "doc_id", "score"])
 
-    return shards.mapInArrow(run, f"item_id {kind}, doc_id long, score long")
+    held = rows if packed else rows.where(F.size("terms") > 0)
+    return held.mapInArrow(run, f"item_id {kind}, doc_id long, score long")
 
 
 def asked_terms(items: DataFrame) -> DataFrame:
@@ -320,8 +332,7 @@ def search(docs: DataFrame, items: DataFrame, *, places: int = 50, query_terms:
         coded = [(r.item_id, np.array(sorted(number[t.encode("utf-8", "surrogatepass")] for t in r.terms), np.int64)) for r in asked]
         rows = stage(forward(docs, vocabulary), "forward")
         known = statistics(rows, len(vocabulary))
-        shards = stage(index(rows, known), "index")
-        part = _search(shards, coded, known, places, kind)
+        part = _search(rows, coded, known, places, kind)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"item_id {kind}, doc_id long, score long")

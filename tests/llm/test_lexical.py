@@ -65,7 +65,9 @@ def test_search_equals_scoring_all(spark, monkeypatch, block, shard, query_terms
     assert {(r.item_id, r.rank): (r.doc_id, r.score) for r in got} == want and len(got) == len(want)
 
 
-def test_blocks_are_left_out_by_bounds_only():
+def test_blocks_are_left_out_by_bounds_only(monkeypatch):
+    monkeypatch.setattr(x, "BLOCK_DOCS", 64)
+    monkeypatch.setattr(x, "SUMMARY_DOCS", 16)
     rng = np.random.default_rng(4)
     n, kinds = 3000, 40
     known = x.Statistics(n, n * 8, rng.integers(1, 9000, kinds * 10))
@@ -98,3 +100,12 @@ def test_empty_tables(spark):
     full = spark.createDataFrame([(1, "b")], "doc_id long, text string")
     assert x.search(full, items.limit(0)).count() == 0
     assert [tuple(r) for r in x.search(full, items).select("item_id", "rank", "doc_id").collect()] == [("a", 1, 1)]
+
+
+def test_a_kept_index_gives_the_same(spark):
+    docs, _ = corpus(7, 200)
+    rows = x.forward(spark.createDataFrame(docs, "doc_id long, text string, n string").select("doc_id", "text"), [b"w1", b"w2", b"w50"])
+    known = x.statistics(rows, 3)
+    items = [(1, np.array([0, 2])), (2, np.array([1]))]
+    found = [sorted(x._search(r, items, known, 10**4, "long").collect(), key=repr) for r in (rows, x.index(rows, known))]
+    assert found[0] == found[1] and found[0]
