@@ -4,6 +4,12 @@ Every Spark task opens a DuckDB of its own, in memory, with the merge table. The
 pieces of a chunk of texts become rows of (piece, position, token); a recursive query joins
 neighbouring rows with the merge table and contracts the pair of lowest rank of every piece
 until no pair can be merged. Ordered aggregation over the tokens gives the text back.
+
+A long piece is cut into segments that are contracted on their own, and its tokens are then
+checked where segments meet. A row of tokens is what contraction gives if any two neighbours,
+contracted alone, give themselves: the first contraction across a border would also happen
+between the two tokens beside it. Where two do not, the tokens around the border are contracted
+anew together, with ever more of them, until all borders hold.
 """
 
 from __future__ import annotations
@@ -20,15 +26,16 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import pieces
 
-# Characters of text that are encoded together, pieces of one recursive query, and pieces that
-# stay known from one chunk to the next (they are forgotten together when there are more).
-CHUNK_CHARS = 2 << 20
-QUERY_PIECES = 50_000
-KNOWN_PIECES = 300_000
-# Pieces of more bytes are contracted by the second query below.
-LONG_PIECE = 64
+# Bytes of one recursive query, and of the pieces that stay known from one chunk to the next (they
+# are forgotten together when there are more).
+QUERY_BYTES = 256 << 10
+KNOWN_BYTES = 8 << 20
+# Longer pieces are cut into segments of so many bytes; tokens on both sides of a border that are
+# contracted anew at first.
+SEGMENT = 48
+REACH = 4
 RESULT = "n_tokens long, ids string, decoded binary"
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -54,42 +61,6 @@ with recursive state(piece, tokens, going) as (
 select tokens from state where not going order by piece
 """
 
-# The same for long pieces, as one row for each token. If the merged token makes no pair of
-# lower rank than its own, its other occurrences would be next, from the left: they are
-# contracted in the same step. In a run (a a a) every second one is taken.
-_MERGE_LONG = """
-with recursive state(piece, pos, token, going) as (
-  select piece, pos, token, true from start
- union all
-  (with paired as (
-     select s.piece, s.pos, s.token, m.token as merged, m.settled,
-            row_number() over (partition by s.piece order by s.pos) as place
-     from (select piece, pos, token, lead(token) over (partition by piece order by pos) as follower
-           from state where going) s
-     left join merges m on m.lhs = s.token and m.rhs = s.follower),
-   lowest as (
-     select piece, min(merged) as best, arg_min(settled, merged) as settled
-     from paired group by piece),
-   marked as (
-     select p.piece, p.pos, p.token, p.place, l.best, l.settled, coalesce(p.merged = l.best, false) as hit
-     from paired p join lowest l using (piece)),
-   runs as (
-     select *, place - row_number() over (partition by piece, hit order by pos) as run,
-            row_number() over (partition by piece, hit order by pos) as nth from marked),
-   chosen as (
-     select piece, pos, token, best,
-            hit and case when settled
-              then row_number() over (partition by piece, hit, run order by pos) % 2 = 1
-              else nth = 1 end as taken
-     from runs),
-   gone as (
-     select *, coalesce(lag(taken) over (partition by piece order by pos), false) as eaten from chosen)
-   select piece, pos, case when taken then best else token end, best is not null
-   from gone where not eaten)
-)
-select list(token order by pos) as tokens from state where not going group by piece order by piece
-"""
-
 # Bytes stand as the characters U+0000 to U+00FF, so that text functions can join them.
 _DECODE = """
 select doc, string_agg(bytes, '' order by pos) as text from encoded join vocabulary using (token)
@@ -104,10 +75,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
-    """Every pair of tokens whose bytes together are a token: lhs, rhs, token, settled.
-
-    ``settled``: no pair that holds the merged token merges to a lower rank than its own.
-    """
+    """Every pair of tokens whose bytes together are a token: lhs, rhs, token."""
     left, right, merged = [], [], []
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
@@ -116,15 +84,7 @@ def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
                 left.append(a)
                 right.append(b)
                 merged.append(rank)
-    unsettled = {x for a, b, c in zip(left, right, merged, strict=True) for x in (a, b) if x > c}
-    return pa.table(
-        {
-            "lhs": pa.array(left, pa.int32()),
-            "rhs": pa.array(right, pa.int32()),
-            "token": pa.array(merged, pa.int64()),
-            "settled": [c not in unsettled for c in merged],
-        }
-    )
+    return pa.table({"lhs": pa.array(left, pa.int32()), "rhs": pa.array(right, pa.int32()), "token": pa.array(merged, pa.int64())})
 
 
 def token_rows(tokens: np.ndarray, sizes: np.ndarray, name: str) -> pa.Table:
@@ -145,7 +105,8 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        # nothing spills to a worker's own folder: queries are bounded in bytes instead
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._create("merges", merge_rows(self.ranks))
         words = {
             "token": pa.array(self.ranks.values(), pa.int32()),
@@ -153,31 +114,75 @@ class Codec:
         }
         self._create("vocabulary", pa.table(words))
         self.byte_tokens = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.token_texts = list(map(str, range(max(self.ranks.values()) + 1)))
         # piece -> its number; for each number the tokens as text, their count, the decoded bytes
         self.numbers: dict[str, int] = {}
         self.texts: list[str] = []
         self.counts: list[int] = []
         self.bytes: list[bytes] = []
+        self.held = 0
 
     def _create(self, name: str, rows: pa.Table) -> None:
         self.con.register("rows", rows)
         self.con.execute(f"create or replace table {name} as select * from rows")
         self.con.unregister("rows")
 
-    def merge(self, pieces: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all pieces one after the other, and how many each piece has."""
         tokens, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(pieces), QUERY_PIECES):
-            raw = pieces[at : at + QUERY_PIECES]
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-            singles = self.byte_tokens[np.frombuffer(b"".join(raw), np.uint8)]
-            self._create("start", token_rows(singles, lengths, "piece"))
-            lists = self.con.sql(query).to_arrow_table()["tokens"].combine_chunks()
-            tokens.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            sizes.append(np.diff(lists.offsets.to_numpy()).astype(np.int64))
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        cuts = np.flatnonzero(np.diff(ends // QUERY_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(raws)], strict=True):
+            raw = raws[a:b]
+            if raw:
+                lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+                singles = self.byte_tokens[np.frombuffer(b"".join(raw), np.uint8)]
+                self._create("start", token_rows(singles, lengths, "piece"))
+                lists = self.con.sql(_MERGE).to_arrow_table()["tokens"].combine_chunks()
+                tokens.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                sizes.append(np.diff(lists.offsets.to_numpy()).astype(np.int64))
         return np.concatenate(tokens), np.concatenate(sizes)
 
+    def _merged(self, raws: list[bytes]) -> list[list[int]]:
+        """The tokens of each piece; equal pieces are contracted once."""
+        kinds = sorted(set(raws))
+        tokens, sizes = self.merge(kinds)
+        ends = np.cumsum(sizes).tolist()
+        flat = tokens.tolist()
+        found = {k: flat[a:b] for k, a, b in zip(kinds, [0, *ends], ends, strict=False)}
+        return [found[r] for r in raws]
+
+    def merge_long(self, raw: bytes) -> list[int]:
+        """The tokens of one long piece, from segments and the borders between them."""
+        parts = self._merged([raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)])
+        tokens = [t for part in parts for t in part]
+        borders = np.cumsum([len(part) for part in parts])[:-1].tolist()
+        reach = REACH
+        while borders:
+            sides = [(tokens[i - 1], tokens[i]) for i in borders]
+            alone = self._merged([self.token_bytes[a] + self.token_bytes[b] for a, b in sides])
+            open_ = [i for i, pair, got in zip(borders, sides, alone, strict=True) if got != list(pair)]
+            spans: list[list[int]] = []
+            for i in open_:
+                begin, end = max(0, i - reach), min(len(tokens), i + reach)
+                if spans and begin <= spans[-1][1]:
+                    spans[-1][1] = end
+                else:
+                    spans.append([begin, end])
+            anew = self._merged([b"".join(map(self.token_bytes.__getitem__, tokens[a:b])) for a, b in spans])
+            out, borders, done = [], [], 0
+            for (a, b), found in zip(spans, anew, strict=True):
+                out += tokens[done:a]
+                if out:
+                    borders.append(len(out))
+                out += found
+                if b < len(tokens):
+                    borders.append(len(out))
+                done = b
+            tokens, reach = out + tokens[done:], 2 * reach
+        return tokens
+
     def decode(self, tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of lists of tokens that stand one after the other."""
         self._create("encoded", token_rows(tokens, sizes, "doc"))
@@ -187,24 +192,26 @@ class Codec:
             out[doc] = text.encode("latin-1")
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encode new pieces and decode their tokens; a piece that is a token is that token."""
         whole, short, long = {}, [], []
-        for piece in pieces:
+        for piece in new:
             raw = piece.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
                 whole[piece] = rank
             else:
-                (long if len(raw) > LONG_PIECE else short).append((piece, raw))
+                (long if len(raw) > SEGMENT else short).append((piece, raw))
+        longs = [np.array(self.merge_long(raw), np.int64) for _, raw in long]
         found = [
             (np.array(list(whole.values()), np.int64), np.ones(len(whole), np.int64)),
-            self.merge([raw for _, raw in short], _MERGE),
-            self.merge([raw for _, raw in long], _MERGE_LONG),
+            self.merge([raw for _, raw in short]),
+            (np.concatenate([*longs, np.empty(0, np.int64)]), np.array([len(x) for x in longs], np.int64)),
         ]
         tokens, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         for piece in [*whole, *(p for p, _ in short), *(p for p, _ in long)]:
             self.numbers[piece] = len(self.numbers)
+            self.held += len(piece)
         texts = list(map(self.token_texts.__getitem__, tokens.tolist()))
         ends = np.cumsum(sizes).tolist()
         self.texts += [" ".join(texts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
@@ -218,13 +225,13 @@ class Codec:
         so are the bytes; every distinct piece is encoded and decoded once.
         """
         cut = [self.pattern.findall(t) for t in texts]
-        if len(self.numbers) > KNOWN_PIECES:
-            self.numbers, self.texts, self.counts, self.bytes = {}, [], [], []
-        new = {p for pieces in cut for p in pieces}.difference(self.numbers)
+        if self.held > KNOWN_BYTES:
+            self.numbers, self.texts, self.counts, self.bytes, self.held = {}, [], [], [], 0
+        new = {p for one in cut for p in one}.difference(self.numbers)
         if new:
             self._learn(sorted(new))
-        for pieces in cut:
-            at = [self.numbers[p] for p in pieces]
+        for one in cut:
+            at = [self.numbers[p] for p in one]
             yield (
                 sum(map(self.counts.__getitem__, at)),
                 " ".join(map(self.texts.__getitem__, at)),
@@ -232,19 +239,6 @@ class Codec:
             )
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Neighbouring texts of CHUNK_CHARS together; a longer text is a chunk of its own."""
-    chunk, held = [], 0
-    for text in texts:
-        if chunk and held + len(text) > CHUNK_CHARS:
-            yield chunk
-            chunk, held = [], 0
-        chunk.append(text)
-        held += len(text)
-    if chunk:
-        yield chunk
-
-
 def _sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -257,33 +251,31 @@ def coded(text: Column, path: str, pattern: str, *, digests: bool = False) -> Co
     ``pattern`` cuts a text into the pieces that are encoded separately.
     """
 
-    small_batches()
-
     @pandas_udf(DIGESTS if digests else RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(path, pattern)
         names = [column.split()[0] for column in (DIGESTS if digests else RESULT).split(", ")]
         for batch in batches:
-            rows = [row for chunk in _chunks([t or "" for t in batch]) for row in codec.code(chunk)]
-            if digests:
-                rows = [(n, _sha256(ids.encode()), _sha256(back)) for n, ids, back in rows]
-            yield pd.DataFrame(rows, columns=names)
+            for some in pieces(batch):
+                rows = codec.code([t or "" for t in some])
+                if digests:
+                    rows = ((n, _sha256(ids.encode()), _sha256(back)) for n, ids, back in rows)
+                yield pd.DataFrame(list(rows), columns=names)
 
-    return run(text)
+    return run.asNondeterministic()(text)  # evaluated once, also where several columns read it
 
 
 def decoded(ids: Column, path: str, pattern: str) -> Column:
     """The bytes of token lists written as by ``coded``; null for null."""
 
-    small_batches()
-
     @pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(path, pattern)
         for batch in batches:
-            lists = [np.array((one or "").split(), np.int64) for one in batch]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            back = codec.decode(np.concatenate([*lists, np.empty(0, np.int64)]), sizes)
-            yield pd.Series([None if one is None else b for one, b in zip(batch, back, strict=True)], dtype=object)
+            for some in pieces(batch):
+                lists = [np.array((one or "").split(), np.int64) for one in some]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                back = codec.decode(np.concatenate([*lists, np.empty(0, np.int64)]), sizes)
+                yield pd.Series([None if one is None else b for one, b in zip(some, back, strict=True)], dtype=object)
 
     return run(ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Texts that are sent to a Python worker together; with longer texts the default of 10,000 is much.
-BATCH_TEXTS = 1_000
+# Characters of texts that a Python worker takes up together. Spark cuts Arrow batches at 64 MB;
+# what is made of them at a time is bounded here, whatever the session sets.
+PIECE_CHARS = 2 << 20
 
 
-def small_batches() -> None:
-    """Bound the rows of an Arrow batch of texts in the active session, if it allows more."""
-    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_TEXTS:
-        conf.set(key, str(BATCH_TEXTS))
+def pieces(texts: Iterable[str | None], most: int = PIECE_CHARS) -> Iterator[list[str | None]]:
+    """Neighbouring texts of about ``most`` characters together; a longer text comes alone."""
+    some, held = [], 0
+    for text in texts:
+        size = len(text) if text else 0
+        if some and held + size > most:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += size
+    if some:
+        yield some
 
 
 def ascii_lower(text: Column) -> Column:

@@ -192,7 +192,7 @@ def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> tup
     named = (
         verified.select("row_no", "body")
         .distinct()
-        .join(_small(windows.select("body", "item_id"), n_parts), "body")
+        .join(_small(windows.select("body", "item_id"), windows.count()), "body")
         .select("row_no", F.col("item_id").cast("string").alias("item"))
         .distinct()
         .groupBy("row_no")

@@ -447,11 +447,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     words, _ = learn_words(rows)
     sent = _batches(rows, _send(words), PACKED)
-    met = stage(sent.groupBy("part").applyInArrow(_meet(words), PACKED), "bigrams")
+    dealt = sent.repartition(words.parts, "part")  # tasks grow in number with the groups
+    met = stage(dealt.groupBy("part").applyInArrow(_meet(words), PACKED), "bigrams")
     seen = {r.part: r.n for r in met.where("kind = 'seen'").groupBy("part").agg(F.sum("seq").alias("n")).collect()}
     factors = discounts([seen.get(r, 0) for r in range(1, LARGE + 2)])
     back = stage(
-        met.where("kind in ('histories', 'gaps')").groupBy("part").applyInArrow(_back_off(words, factors), PACKED), "weights"
+        met.where("kind in ('histories', 'gaps')").repartition(words.parts, "part").groupBy("part").applyInArrow(_back_off(words, factors), PACKED),
+        "weights",
     )
     sums = met.where("kind in ('docs', 'sums')").unionByName(back.where("kind = 'back'"))
     out = sums.groupBy("part").applyInArrow(_finish(words, factors), SCORES)

@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import stage
-from .common import small_batches
+from .common import pieces
+from .katz import pack, unpack
 
 UNKNOWN = "und"
 ORDER = 4
 # Bytes of labelled text that a language is learned from, at most, and languages for which that
-# much is taken; more share what these may hold. The rest of the corpus plays no part in the
-# model, however large it is.
+# much is taken; more share what these may hold, so that all trees together stay small enough for
+# every task. The rest of the corpus plays no part in the model, however large it is.
 SAMPLE_BYTES = 1_500_000
-LANGUAGES = 200
+LANGUAGES = 16
 # Bits of the hash that orders the texts of a sample, and bits by which its ranges get smaller.
 PLACE_BITS, STEP_BITS = 63, 10
 # Bytes scored together, and bounds of the table of known grams: slots as a power of two, bytes.
@@ -101,6 +102,15 @@ class Tree:
                 tree.excluded.append(np.zeros(len(contexts)))
         return tree
 
+    def pack(self) -> bytes:
+        return pack(*(array for f in self.__dataclass_fields__ for array in getattr(self, f)))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Tree:
+        arrays = unpack(data)
+        orders = ORDER + 1
+        return cls(*(arrays[i : i + orders] for i in range(0, len(arrays), orders)))
+
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Code lengths of the last byte of each gram of ORDER + 1 bytes, given the others."""
         cost = np.zeros(len(codes))
@@ -276,17 +286,18 @@ def train(labelled: DataFrame, *, sample_bytes: int = SAMPLE_BYTES) -> Model:
         .agg(F.min("text").alias("text"))
     )
 
-    def cut(batch: pa.Table) -> pa.Table:
+    def fit(batch: pa.Table) -> pa.Table:
         taken, left = [], sample_bytes
         for _, text in sorted(zip(batch["place"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             taken.append(text.encode("utf-8", "surrogatepass")[:left])
             left -= len(taken[-1])
             if not left:
                 break
-        return pa.table({"lang": [batch["lang"][0].as_py()], "texts": pa.array([taken], pa.list_(pa.binary()))})
+        return pa.table({"lang": [batch["lang"][0].as_py()], "tree": pa.array([Tree.fit(taken).pack()], pa.binary())})
 
-    drawn = sample.groupBy("lang").applyInArrow(cut, "lang string, texts array<binary>").collect()
-    model = Model({r.lang: Tree.fit([bytes(t) for t in r.texts]) for r in drawn})
+    # each tree is fitted in a task of its own; what comes here is bounded with the samples
+    fitted = sample.groupBy("lang").applyInArrow(fit, "lang string, tree binary").collect()
+    model = Model({r.lang: Tree.unpack(bytes(r.tree)) for r in fitted})
     if len(model.languages) != known:
         raise RuntimeError(f"{known} languages are labelled, {len(model.languages)} were learned")
     return model
@@ -298,13 +309,14 @@ def predicted(text: Column, spark: SparkSession, model: Model) -> Column:
     ``score`` compares the languages by code length a byte: 2^-b of the best one over the sum of
     all, so 1 over the number of languages when they tell nothing. A text that is null or has no
     letter is ``und`` with score 0, as is every text when the model knows no language.
+    Spark evaluates the column once, also where a filter reads it.
     """
-    small_batches()
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(shared.value.predict(list(batch)), columns=["lang_pred", "score", "bits"])
+            for some in pieces(batch):
+                yield pd.DataFrame(shared.value.predict(some), columns=["lang_pred", "score", "bits"])
 
-    return run(text)
+    return run.asNondeterministic()(text)

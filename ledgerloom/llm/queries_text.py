@@ -18,7 +18,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = (doc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    held_out = F.coalesce(doc_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out)
     model = language_id.train(docs.where("not held_out"))
     found = docs.select("doc_id", "held_out", language_id.predicted(F.col("text"), spark, model).alias("found"))

@@ -15,12 +15,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import stage
-from .common import small_batches
 from .components import components
 
 SEED = 42
@@ -28,12 +27,6 @@ SEGMENT_BITS = 32
 LOW = (1 << SEGMENT_BITS) - 1
 # Distinct fingerprints that may share a segment value before whole fingerprints are looked up.
 BUCKET = 256
-# Similarity of five-word shingle sets from which texts are near copies, and the min-hashes that
-# look for them: 20 bands of 5 find a pair at 0.8 with chance 1 - (1 - 0.8^5)^20 = 0.9996.
-SIMILAR = 0.8
-BANDS, BAND_ROWS = 20, 5
-_SALTS, _FACTORS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64)
-_FACTORS |= np.uint64(1)
 
 
 def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
@@ -56,8 +49,6 @@ def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
 def fingerprint(text: Column, shingle_words: int = 3) -> Column:
     """The fingerprint as a signed long with the same bits; a null text has none set."""
 
-    small_batches()
-
     @pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -155,116 +146,21 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingles_of(text: str | None, shingle_words: int = 5) -> np.ndarray:
-    """Hashes of the distinct shingles of one text, in order; one of no words for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    width = max(1, min(shingle_words, len(words)))
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)) if words else [b""]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
-
-
-def bands_of(text: str | None, shingle_words: int = 5) -> list[int]:
-    """BANDS signed longs: each is made of the least of BAND_ROWS seeded hashes of the shingles."""
-    hashes = shingles_of(text, shingle_words)
-    least = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 1 << 12):
-        mixed = (hashes[at : at + (1 << 12), None] ^ _SALTS) * _FACTORS
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * _FACTORS[::-1]).min(axis=0))
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(rows)]
-
-
-def bands(text: Column, shingle_words: int = 5) -> Column:
-    small_batches()
-
-    @pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([bands_of(t, shingle_words) for t in texts])
-
-    return run(text)
-
-
-def alike(left: Column, right: Column, least: float, shingle_words: int = 5) -> Column:
-    """Whether the Jaccard similarity of the distinct shingles of two texts is ``least`` or more."""
-    small_batches()
-
-    @pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lefts, rights in batches:
-            out, seen, one = [], None, None
-            for a, b in zip(lefts, rights, strict=True):
-                if one is None or a != seen:
-                    seen, one = a, shingles_of(a, shingle_words)
-                two = shingles_of(b, shingle_words)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                out.append(both >= least * (len(one) + len(two) - both))
-            yield pd.Series(out, dtype=bool)
-
-    return run(left, right)
+def deduplicate(docs: DataFrame, radius: int = 2, shingle_words: int = 3) -> DataFrame:
+    """The rows of ``docs`` of which each group of linked fingerprints keeps one.
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, shingle_words: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts are near copies, by their whole shingle sets."""
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return both.where(alike(F.col("left"), F.col("right"), similar, shingle_words)).select("a", "b")
-
-
-def _stars(shared: DataFrame) -> DataFrame:
-    """(a, b): in each bucket every text with the one that meets most others in all its buckets.
-
-    The original of many edited copies meets more of them than any copy does.
-    """
-    weights = shared.groupBy("node").agg(F.sum("held").alias("weight"))
-    hubs = shared.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
-    return shared.join(hubs, "bucket").where("a != node").select("a", F.col("node").alias("b")).distinct()
-
-
-def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket that are in different components so far."""
-    rooted = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("kinds"))
-    inside = stage(rooted.join(mixed.where("kinds > 1").select("bucket", "main"), "bucket"), "mixed")
-    rest = inside.where("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    met = rest.join(inside, "bucket").where("root_a != root and (root = main or a < node)")
-    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def deduplicate(docs: DataFrame, *, similar: float = SIMILAR, shingle_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near copies: one row of each group stays.
-
-    Two texts are near copies if the Jaccard similarity of their distinct shingles is ``similar``
-    or more; groups are the components of such pairs, and the row with the smallest doc_id
-    stays. Candidates share a band of min-hashes (at similarity 0.8, all but 4 pairs in 10,000);
-    each is verified on the whole texts. A bucket first compares its texts with one of them,
-    then all pairs that are still in different components. Exact copies always count as one.
-    Of rows that repeat a doc_id one stays; rows without doc_id, which no group can be named
-    after, all stay. Texts without words are copies of each other.
+    The row with the group's smallest doc_id stays; of several rows with that id the one whose
+    text has the least hash, and one of them where id and text repeat. Texts without words are
+    copies of each other. Rows without doc_id, which no group can be named after, all stay.
     """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.where("doc_id is not null")
-    spoken = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise("")
-    content = F.unhex(F.md5(F.encode(spoken, "UTF-8")))
-    least = named.select("doc_id", content.alias("content")).groupBy("content").agg(F.min("doc_id").alias("node"))
-    nodes = stage(least.select("node").distinct(), "nodes")
-    texts = stage(
-        named.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts"
-    )
-    entries = stage(
-        texts.select("node", bands(F.col("text"), shingle_words).alias("bands")).select("node", F.explode("bands").alias("bucket")),
-        "bands",
-    )
-    held = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = stage(entries.join(held, "bucket"), "shared")
-    stars = stage(_stars(shared), "stars")
-    linked = stage(_verified(stars, texts, similar, shingle_words), "links")
-    across = _across(shared, components(linked, "a", "b")).join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
+    marked = stage(
+        named.select("doc_id", text_hash.alias("content"), fingerprint(F.col("text"), shingle_words).alias("fp")), "simhash"
     )
-    more = stage(_verified(across, texts, similar, shingle_words), "links")
-    gone = components(linked.unionByName(more), "a", "b").where("node != root").select(F.col("node").alias("doc_id"))
-    kept = nodes.select(F.col("node").alias("doc_id")).join(gone, "doc_id", "left_anti")
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    rooted = marked.join(groups(marked, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("least")).select("least.*")
+    rows = named.select(F.struct("*").alias("row"), "doc_id", text_hash.alias("content"))
+    same = Window.partitionBy("doc_id", "content").orderBy("doc_id")
+    stay = rows.join(kept, ["doc_id", "content"]).withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return stay.select("row.*").unionByName(docs.where("doc_id is null"))

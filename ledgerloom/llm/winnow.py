@@ -3,7 +3,9 @@
 The words of a text give one hash for every ``KGRAM`` neighbouring words; of every ``WINDOW``
 neighbouring hashes the smallest one is chosen, the rightmost on ties. What is chosen, with its
 position, is the fingerprint: two texts that share ``KGRAM + WINDOW - 1`` words in a row share
-at least one chosen hash.
+at least one chosen hash. Texts of few words, or of very long ones as where no spaces are written,
+are winnowed by characters as well: two of them share a hash if they share
+``CHAR_KGRAM + CHAR_WINDOW - 1`` characters in a row.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from .common import SPACE
 
 KGRAM = 5
 WINDOW = 8
+# The same for characters, in texts of fewer words, or of more characters a word, than these.
+CHAR_KGRAM = 8
+CHAR_WINDOW = 9
+FEW_WORDS = 2 * (KGRAM + WINDOW)
+LONG_WORDS = 32
 # Prime modulus and base of the k-gram hash: products stay below 2^62.
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
@@ -35,12 +42,26 @@ def chosen(text: Column, k: int = KGRAM, window: int = WINDOW) -> Column:
     Each long holds the hash in its high bits and the position, counted back, in its low 31, so
     that the least long of a window is the least hash, the rightmost on ties. A text of fewer
     than ``k`` words has one hash, of all its words; one of no words (null, empty) has none. A
-    text of fewer hashes than ``window`` is one window.
+    text of fewer hashes than ``window`` is one window. What characters give stands behind, for
+    texts with FEW_WORDS or LONG_WORDS that have CHAR_KGRAM characters besides white space around.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
-    packed = _bound(hashes, lambda h: _packed(h, k))
-    return _bound(packed, lambda p: _windows(p, window))
+    whole = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(whole, f"[{SPACE}]+"), lambda w: w != "")
+
+    def both(w: Column) -> Column:
+        by_words = _winnowed(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))), k, window)
+        spoken = F.array_join(w, " ")
+        chars = F.transform(F.split(spoken, ""), lambda x: F.pmod(F.xxhash64(F.lit("char"), x), F.lit(PRIME)))
+        n_chars = F.char_length(spoken)
+        few = (F.size(w) < FEW_WORDS) | (n_chars > LONG_WORDS * F.size(w))
+        by_chars = F.when(few & (n_chars >= CHAR_KGRAM), _winnowed(chars, CHAR_KGRAM, CHAR_WINDOW))
+        return F.concat(by_words, F.coalesce(by_chars, F.array().cast("array<bigint>")))
+
+    return _bound(words, both)
+
+
+def _winnowed(hashes: Column, k: int, window: int) -> Column:
+    return _bound(_bound(hashes, lambda h: _packed(h, k)), lambda p: _windows(p, window))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -104,7 +125,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def following(values: DataFrame, levels: int) -> DataFrame:
-    """(v, next) for distinct longs ``v``: the greatest smaller one, null for the least.
+    """(v, next) for distinct longs ``v`` of 0 or more: the greatest smaller one, null for the least.
 
     Values are cut into blocks of 2^BLOCK_BITS neighbours and ordered inside; the next block
     that holds any is found among the block numbers in the same way, one level up, so that no
@@ -125,32 +146,34 @@ def following(values: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def _levels(low: int, high: int) -> int:
+def _levels(most: int) -> int:
+    """Levels above values from 0 to ``most`` until one block holds all."""
     levels = 0
-    while low >> BLOCK_BITS != high >> BLOCK_BITS:
-        low, high, levels = low >> BLOCK_BITS, high >> BLOCK_BITS, levels + 1
+    while most >> BLOCK_BITS:
+        most, levels = most >> BLOCK_BITS, levels + 1
     return levels
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, made: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc_id, text, next_text): the text of the next document by descending doc_id.
 
     After the last document comes the first. Rows without doc_id come last; of rows with equal
     doc_id those with the greater text go first. Texts are shuffled once, by blocks of
-    neighbouring ids; the first row of each block is also sent to the block before it.
+    neighbouring ids; the first row of each block is also sent to the block before it. With
+    ``made`` there are also made and next_made, what it makes of each text, made once a row
+    where the row is read and sent along.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    least, most, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.col("doc_id").isNull())).first()
-    low, high = least or 0, most or 0
-    # rows without id stand in a block of their own below all others
-    last = (low >> BLOCK_BITS) - 1
-    block = F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(last))
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # blocks are numbered from 1 at the least id, over the whole range of longs; rows without id are in block 0
+    base = (least or 0) >> BLOCK_BITS
+    last = 0 if most is None else (most >> BLOCK_BITS) - base + 1
+    block = F.coalesce(F.shiftright("doc_id", BLOCK_BITS) - F.lit(base - 1), F.lit(0).cast("long"))
     blocks = rows.groupBy(block.alias("block")).agg(F.max("doc_id").alias("top"))
-    order = following(blocks.select(F.col("block").alias("v")), _levels(last if nulls else low >> BLOCK_BITS, high >> BLOCK_BITS))
+    order = following(blocks.select(F.col("block").alias("v")), _levels(last))
     tops = blocks.select(F.col("block").alias("next"), "top")
-    first = F.lit(last if most is None else high >> BLOCK_BITS)
     heads = (
-        order.select(F.col("v").alias("sent_to"), F.coalesce("next", first).alias("next"))
+        order.select(F.col("v").alias("sent_to"), F.coalesce("next", F.lit(last)).alias("next"))
         .join(tops, "next")
         .select("sent_to", F.col("next").alias("home"), "top")
     )
@@ -158,13 +181,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_BLOCKS else heads
     homed = rows.withColumn("home", block)
     copies = homed.join(heads, "home").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    sent = homed.select(F.col("home").alias("block"), F.lit(0).alias("copy"), "doc_id", "text").unionByName(
-        copies.select(F.col("sent_to").alias("block"), F.lit(1).alias("copy"), "doc_id", "text")
+    extra = [made(F.col("text")).alias("made")] if made else []
+    sent = homed.select(F.col("home").alias("block"), F.lit(0).alias("copy"), "doc_id", "text", *extra).unionByName(
+        copies.select(F.col("sent_to").alias("block"), F.lit(1).alias("copy"), "doc_id", "text", *extra)
     )
     along = Window.partitionBy("block").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return (
-        sent.withColumn("next_text", F.lead("text").over(along)).where("copy = 0").select("doc_id", "text", "next_text")
-    )
+    kept = ["text"] + ["made"] * bool(made)
+    ahead = [F.lead(c).over(along).alias(f"next_{c}") for c in kept]
+    return sent.select("copy", "doc_id", *kept, *ahead).where("copy = 0").drop("copy")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -180,17 +204,16 @@ def with_edits(docs: DataFrame, k: int = KGRAM, window: int = WINDOW) -> DataFra
     near_edited and near_next. A null text counts as empty, repeated rows are rows of their own,
     other columns are not read.
     """
-    pairs = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    pairs = with_next(docs, lambda text: chosen(text, k, window))
     marked = pairs.select(
         "doc_id",
         "text",
-        "edited_text",
-        chosen(F.col("text"), k, window).alias("fingerprint"),
-        chosen(F.col("edited_text"), k, window).alias("edited_fingerprint"),
-        hashes_of(chosen(F.col("next_text"), k, window)).alias("next_hashes"),
-    )
-    own = hashes_of(F.col("fingerprint"))
-    return marked.withColumn("own", own).select(
+        edited(F.col("text"), F.col("next_text")).alias("edited_text"),
+        F.col("made").alias("fingerprint"),
+        hashes_of(F.col("made")).alias("own"),
+        hashes_of(F.col("next_made")).alias("next_hashes"),
+    ).withColumn("edited_fingerprint", chosen(F.col("edited_text"), k, window))
+    return marked.select(
         "doc_id",
         "text",
         "edited_text",

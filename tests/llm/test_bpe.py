@@ -1,3 +1,6 @@
+import random
+import time
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -46,9 +49,34 @@ def test_all_documents(spark, library, small):
 
 
 def test_forgetting_known_pieces_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 3)
-    monkeypatch.setattr(bpe, "QUERY_PIECES", 2)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 3)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 20)
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for text in ["some unusualwordings here", "and otherwordings thereof", "some unusualwordings here"]:
         (row,) = codec.code([text])
         assert row[1] == " ".join(map(str, library.encode_ordinary(text)))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "aé中", "ethans", " -"])
+@pytest.mark.parametrize("segment", [2, 7, 48])
+def test_long_pieces_by_segments(monkeypatch, library, letters, segment):
+    monkeypatch.setattr(bpe, "SEGMENT", segment)
+    monkeypatch.setattr(bpe, "REACH", 1)
+    rng = random.Random(segment)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 3, 50, 700)]
+    for text, (n, ids, back) in zip(texts, codec.code(texts), strict=True):
+        assert ids == " ".join(map(str, library.encode_ordinary(text))) and back == text.encode()
+
+
+def test_a_million_letters_in_under_a_minute(library):
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    started = time.time()
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ((n, ids, back),) = codec.code([text])
+    assert time.time() - started < 60
+    assert back == text.encode()
+    # the library itself is slow on such a piece: compare part of it, cut where its own tokens end
+    some = library.encode_ordinary(text[:20_000])[:-50]
+    assert ids.split()[: len(some)] == list(map(str, some))

@@ -92,7 +92,8 @@ def test_every_language_is_learned_from_distinct_texts(spark):
     assert model.languages == sorted({lang for lang, _ in rows})
     sizes = {x: t.counts[0].sum() for x, t in zip(model.languages, model.trees, strict=True)}
     once = {x: sum(len(t) for t in {t for lang, t in rows if lang == x}) for x in model.languages}
-    assert sizes == {x: min(2000, n) for x, n in once.items()}
+    share = 2000 * li.LANGUAGES // len(once)
+    assert sizes == {x: min(share, n) for x, n in once.items()}
 
 
 def test_ranges_shrink_to_the_sample(spark, monkeypatch):

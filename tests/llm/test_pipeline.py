@@ -3,6 +3,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from ledgerloom.llm import bpe
@@ -39,3 +40,28 @@ def test_stages(spark, folder):
     for r in out:
         assert r.decoded_text == r.text == texts[r.doc_id]
         assert r.token_ids == " ".join(map(str, library.encode_ordinary(r.text))) and r.lang in ("en", "de")
+
+
+def test_one_evaluation_of_the_language_model(spark, folder):
+    sf, _ = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for step in (p.languages, p.encoded):
+        plan = step(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_clashing_columns_and_empty_tables(spark, folder):
+    sf, texts = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 6")
+    names = ["row", "found", "code", "n_tokens", "token_ids", "decoded_text", "fp", "content", "nth", "_digest2", "root"]
+    clash = docs.select("*", *[F.lit("clash").alias(n) for n in names])
+    for name, step in p.STAGES:
+        out = step(spark, clash, sf)
+        kept = {r.doc_id for r in out.collect()}
+        assert kept == set(range(6)), name
+        if name != "bpe":
+            assert out.columns == clash.columns
+        else:
+            assert sorted(out.columns) == sorted(clash.columns)
+            assert {r.decoded_text for r in out.collect()} == {texts[d] for d in range(6)}
+        assert step(spark, clash.limit(0), sf).count() == 0

@@ -11,13 +11,13 @@ from ledgerloom.llm import winnow as w
 def mixed(value):
     return xxhash.xxh64(struct.pack("<q", value), seed=42).intdigest() % 2**32
 
-def plain(text, k=w.KGRAM, window=w.WINDOW):
-    """(hash, position) of the rightmost least hash of every window."""
-    found = [x for x in re.split("[\\x20\\x09-\\x0D]+", text or "") if x]
-    hashes = []
-    for x in found:
-        h = xxhash.xxh64(x.encode(), seed=42).intdigest()
-        hashes.append((h - 2**64 if h >= 2**63 else h) % w.PRIME)
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+def hashed(x):
+    return xxhash.xxh64(x.encode(), seed=42).intdigest()
+
+def winnowed(hashes, k, window):
     grams = []
     for i in range(max(len(hashes) - k + 1, min(1, len(hashes)))):
         rolled = 0
@@ -32,6 +32,17 @@ def plain(text, k=w.KGRAM, window=w.WINDOW):
             out.append((grams[at], at))
     return out
 
+def plain(text, k=w.KGRAM, window=w.WINDOW):
+    """(hash, position) of the rightmost least hash of every window, of words and then of characters."""
+    found = [x for x in re.split("[\\x20\\x09-\\x0D]+", text or "") if x]
+    out = winnowed([signed(hashed(x)) % w.PRIME for x in found], k, window)
+    spoken = " ".join(found)
+    if len(spoken) >= w.CHAR_KGRAM and (len(found) < w.FEW_WORDS or len(spoken) > w.LONG_WORDS * len(found)):
+        # two columns are hashed one after the other, the first seeds the second
+        chars = [signed(xxhash.xxh64(c.encode(), seed=xxhash.xxh64(b"char", seed=42).intdigest()).intdigest()) % w.PRIME for c in spoken]
+        out += winnowed(chars, w.CHAR_KGRAM, w.CHAR_WINDOW)
+    return out
+
 def unpacked(packed):
     return [(x >> w.POSITION_BITS, w.LAST - (x & w.LAST)) for x in packed]
 
@@ -45,7 +56,7 @@ def jaccard(a, b):
 
 def test_choice_of_hashes(spark):
     rng = random.Random(4)
-    texts = ["", None, "one", "a b c d", "a b c d e", "x " * 300, "é\tü\n\n a\x0bb  c d e f g h i j k l m n"]
+    texts = ["中文" * 40, "x" * 500, "ab cd efg", "1234567", "12345678", ("長" * 40 + " ") * 30, "", None, "one", "a b c d", "a b c d e", "x " * 300, "é\tü\n\n a\x0bb  c d e f g h i j k l m n"]
     texts += [" ".join(rng.choice("abc") for _ in range(n)) for n in (11, 12, 13, 60, 400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in df.select("doc_id", w.chosen(F.col("text")).alias("f")).collect():
@@ -62,6 +73,7 @@ def test_match_guarantee(spark):
 
 @pytest.mark.parametrize(
     ("bits", "ids"), [(3, range(40)), (10, [i * 9973 - 10**5 for i in range(40)]), (20, [-(2**50), 5, 2**40]), (3, [None, 3, None, 9])]
+    + [(10, [-1, 1, 0]), (10, [-(2**63), 2**63 - 1, 0, None]), (8, [-5, None, 4, 2**62, -(2**62)]), (10, [None, None])]
 )
 def test_edits_and_likeness(spark, monkeypatch, bits, ids):
     monkeypatch.setattr(w, "BLOCK_BITS", bits)
@@ -95,3 +107,15 @@ def test_one_row_and_none(spark):
     assert w.with_edits(docs.limit(0)).count() == 0
     nobody = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
     assert {(r.text, r.next_text) for r in w.with_next(nobody).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_spaceless_and_short_texts_share_hashes(spark):
+    rng = random.Random(2)
+    def signs(n):
+        return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    shared = signs(w.CHAR_KGRAM + w.CHAR_WINDOW - 1)
+    short = "one little text of nine words and no more"
+    pairs = [(signs(90) + shared + signs(41), signs(7) + shared), (short, short[: len(short) // 2] + "something else follows")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select(w.hashes_of(w.chosen(F.col("a"))).alias("a"), w.hashes_of(w.chosen(F.col("b"))).alias("b")).collect():
+        assert set(r.a) & set(r.b)
