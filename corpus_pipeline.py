@@ -21,13 +21,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a letter, and texts that no language shortens.
     """
     model = language_id.train(docs)
-    found = docs.select("*", language_id.predicted(F.col("text"), spark, model).alias("_found"))
-    spoken = (F.col("_found.lang_pred") != language_id.UNKNOWN) & (F.col("_found.bits") < MOST_BITS)
-    return found.where(spoken).withColumn("lang", F.col("_found.lang_pred")).select(*docs.columns)
+    found = docs.select(F.struct("*").alias("row"), language_id.predicted(F.col("text"), spark, model).alias("found"))
+    spoken = (F.col("found.lang_pred") != language_id.UNKNOWN) & (F.col("found.bits") < MOST_BITS)
+    named = [F.col("found.lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.where(spoken).select(*named)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of exact and near copies."""
+    """Keep one document of each group of linked fingerprints: exact copies and close ones."""
     return simhash.deduplicate(docs)
 
 
@@ -37,10 +38,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its tokens and the text decoded from them."""
+    """Every document with its tokens and the text decoded from them.
+
+    Columns of ``docs`` named n_tokens, token_ids or decoded_text are replaced.
+    """
     code = bpe.coded(F.col("text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return docs.select("*", code.alias("code")).select(
-        *docs.columns,
+    kept = [c for c in docs.columns if c not in ("n_tokens", "token_ids", "decoded_text")]
+    return docs.select(F.struct(*kept).alias("row"), code.alias("code")).select(
+        "row.*",
         F.col("code.n_tokens").alias("n_tokens"),
         F.col("code.ids").alias("token_ids"),
         F.decode("code.decoded", "UTF-8").alias("decoded_text"),
