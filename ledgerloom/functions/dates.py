@@ -26,7 +26,7 @@ DATE_PATTERNS = [
     r"\b\d{1,2}-\d{1,2}-\d{2}\b",
     r"\b\d{1,2}\.\d{1,2}\.\d{2}\b",
     r"\b\d{1,2}-[A-Za-z]{3,9}-\d{4}\b",
-    r"\b\d{1,2}-[A-Za-z]{3,9}-\d{2}\b",
+    r"\b\d{1,2}-[A-Za-z]{3}-\d{2}\b",  # no long month before a two-digit year
     r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\b",
     r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2}\b",
     r"\b[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}\b",

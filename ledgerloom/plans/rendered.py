@@ -14,6 +14,8 @@ from ..session import stage
 from .inputs import ledger
 
 PAGE_ROWS = 40
+# The row of a page behind which the first layout repeats its header.
+HEADER_AGAIN = 3
 
 # How many ways a date is written, by transaction number.
 DATE_STYLES = ["dd/MM/yyyy", "dd-MMM-yyyy", "dd/MM/yy", "yyyy-MM-dd", "dd.MM.yyyy", "MMM d, yyyy"]
@@ -46,7 +48,7 @@ def _text_row(*cells: str) -> Column:
 
 # Header rows of the four layouts; the third has no header, the fourth spreads it over two rows.
 HEADERS = [
-    [["Entry Date", "Narrative", "Instrument", "Paid Out", "Paid In", "Balance After Entry"]],
+    [["Entry Date", "Narration", "Instrument", "Paid Out", "Paid In", "Balance After Entry"]],
     [["Booking Date", "Activity", "Amount", "D/C", "Bal"]],
     [["Ledger extract", "", "", "", ""]],
     [["Posting", "Entry", "", "Running"], ["Date", "Particulars", "Amount", "Balance"]],
@@ -97,6 +99,8 @@ def tables(spark: SparkSession, sf_dir: str, layout: Column) -> DataFrame:
     lines = F.when(
         wraps, F.array(_by_layout(F.col("layout"), starts), _by_layout(F.col("layout"), more))
     ).otherwise(F.array(_by_layout(F.col("layout"), starts)))
+    again = (F.col("layout") == 0) & ((F.col("row_no") - 1) % PAGE_ROWS == HEADER_AGAIN - 1)
+    lines = F.when(again, F.concat(lines, F.array(_text_row(*HEADERS[0][0])))).otherwise(lines)
     rows = t.select(
         "statement_id", page_of(F.col("row_no")).alias("table_no"), "row_no", lines.alias("lines")
     )
