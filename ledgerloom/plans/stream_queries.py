@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import event_time
-from .inputs import table
+from ..streaming import event_time, running_audit
+from .book_queries import AUDIT_STEPS
+from .inputs import ledger, table
 from .io_queries import fresh_folder
 from .registry import query
 
@@ -72,3 +73,17 @@ def _in_order(spark, sf_dir) -> list[DataFrame]:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     day = F.dayofmonth("ts")
     return [events.where(day <= _FIRST), events.where((day > _FIRST) & (day <= _SECOND)), events.where(day > _SECOND)]
+
+
+@query(
+    "stream_audit",
+    f"with {AUDIT_STEPS} select statement_id, txn_id, cast(row_no as bigint) as row_no, balance_verified from audited",
+)
+def q_stream_audit(spark, sf_dir):
+    """The rows of every statement come in three deliveries, dealt by transaction, the second one twice."""
+    landing, sink, log = (fresh_folder(spark, n) for n in ("landing", "sink", "progress"))
+    rows = ledger(spark, sf_dir).select("statement_id", "txn_id", "row_no", "balance", "debit", "credit")
+    for part in (0, 1, 1, 2):
+        rows.where(F.pmod(F.xxhash64("txn_id"), F.lit(3)) == part).write.mode("append").parquet(landing)
+        running_audit.settle_stream(spark, landing, sink, log, schema=rows.schema)
+    return running_audit.verdicts(spark, sink).select("statement_id", "txn_id", "row_no", "balance_verified")
