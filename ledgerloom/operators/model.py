@@ -27,6 +27,10 @@ INVERSE_REGULARISATION = 2.5
 ITERATIONS = 1000
 NB_SMOOTHING = 0.1
 TERMS_COLUMN, FEATURES = "_terms", "_features"
+INFO = "position int, category string, accuracy double, total_samples long, train_samples long, test_samples long"
+# The fit stops when a step gains less than this share of the loss.
+TOLERANCE = 1e-8
+INTERCEPT = "(intercept)"
 
 
 def terms(description: Column) -> Column:
@@ -132,6 +136,8 @@ class NarrationModel:
     stages: PipelineModel
     classes: list[str]
     accuracy: float = 0.0
+    train_samples: int = 0
+    test_samples: int = 0
 
     def features(self, df: DataFrame) -> DataFrame:
         counted = self.counter.transform(df.withColumn(TERMS_COLUMN, terms(F.col("description"))))
@@ -151,25 +157,26 @@ class NarrationModel:
         self.counter.write().overwrite().save(f"{path}/terms")
         self.stages.write().overwrite().save(f"{path}/stages")
         spark = SparkSession.active()
-        info = [(i, c, self.accuracy) for i, c in enumerate(self.classes)]
-        spark.createDataFrame(info, "position int, category string, accuracy double").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/info")
+        counts = self.train_samples + self.test_samples, self.train_samples, self.test_samples
+        info = [(i, c, self.accuracy, *counts) for i, c in enumerate(self.classes)]
+        spark.createDataFrame(info, INFO).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
 
 
 def load_model(spark: SparkSession, path: str) -> NarrationModel:
-    info = spark.read.parquet(f"{path}/info").orderBy("position").collect()
+    info = model_info(spark, path).orderBy("position").collect()  # one row for each class
     return NarrationModel(
         CountVectorizerModel.load(f"{path}/terms"),
         PipelineModel.load(f"{path}/stages"),
         [r["category"] for r in info],
         info[0]["accuracy"],
+        info[0]["train_samples"],
+        info[0]["test_samples"],
     )
 
 
 def model_info(spark: SparkSession, path: str) -> DataFrame:
-    """Classes and accuracy of a saved model."""
-    return spark.read.parquet(f"{path}/info")
+    """Classes, accuracy and numbers of samples of a saved model; an older one has no numbers (0)."""
+    return spark.read.schema(INFO).parquet(f"{path}/info").na.fill(0, ["total_samples", "train_samples", "test_samples"])
 
 
 def fit(train: DataFrame, *, kind: str = "logistic_regression") -> NarrationModel:
@@ -194,7 +201,7 @@ def fit(train: DataFrame, *, kind: str = "logistic_regression") -> NarrationMode
     weights = F.create_map(
         *[x for c in classes for x in (F.lit(c), F.lit(n / (len(classes) * per_class[c])))]
     )
-    model = NarrationModel(counter, PipelineModel([product, unit]), classes)
+    model = NarrationModel(counter, PipelineModel([product, unit]), classes, train_samples=n)
     rows = unit.transform(product.transform(model.features(train))).select(
         FEATURES,
         (F.array_position(names, F.col("category")) - 1).cast("double").alias("label"),
@@ -209,6 +216,7 @@ def fit(train: DataFrame, *, kind: str = "logistic_regression") -> NarrationMode
             featuresCol=FEATURES,
             weightCol="weight",
             maxIter=ITERATIONS,
+            tol=TOLERANCE,
             regParam=1.0 / (INVERSE_REGULARISATION * n),
             standardization=False,
         ).fit(rows)
@@ -216,6 +224,62 @@ def fit(train: DataFrame, *, kind: str = "logistic_regression") -> NarrationMode
     return model
 
 
+def coefficients(spark: SparkSession, model: NarrationModel) -> DataFrame:
+    """(term, weights): what a term adds to the margin of each class, in the order of ``classes``.
+
+    At most VOCABULARY rows and one for the intercepts.
+    """
+    fitted = model.stages.stages[-1]
+    table = fitted.coefficientMatrix.toArray().T
+    rows = [(t, [float(x) for x in w]) for t, w in zip(model.counter.vocabulary, table, strict=True)]
+    rows.append((INTERCEPT, [float(x) for x in fitted.interceptVector.toArray()]))
+    return spark.createDataFrame(rows, "term string, weights array<double>")
+
+
+def gradient(model: NarrationModel, train: DataFrame, key: str) -> DataFrame:
+    """(category, term, gradient) of the loss of ``fit`` at the fitted coefficients.
+
+    The loss is convex, so a gradient near zero everywhere shows that no other coefficients are
+    better: a proof of the fit that needs neither the optimiser nor its vectors. ``train`` are the
+    rows that were fitted, with a unique ``key``. Terms and margins are long rows built by
+    ``tfidf``; a text's terms meet once by key, the sums by term are partial aggregates.
+    """
+    spark = train.sparkSession
+    known = coefficients(spark, model)
+    intercepts = known.where(F.col("term") == INTERCEPT).first()["weights"]
+    size, classes = len(model.classes), F.array(*[F.lit(c) for c in model.classes])
+    per_class = train.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["category"]: r["n"] for r in per_class.collect()}  # one row for each class
+    n = sum(counts.values())
+    balance = F.create_map(*[x for c in model.classes for x in (F.lit(c), F.lit(n / (size * counts[c])))])
+
+    terms_of = tfidf(train, key).join(F.broadcast(known), "term")
+    margins = [F.sum(F.col("weights")[i] * F.col("weight")).alias(f"_m{i}") for i in range(size)]
+    texts = terms_of.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("held"), *margins)
+    rows = train.select(key, "category").join(texts, key, "left")
+    margin = F.array(*[F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) + F.lit(float(b)) for i, b in enumerate(intercepts)])
+    rows = rows.select("category", "held", margin.alias("margin"), F.element_at(balance, F.col("category")).alias("_w"))
+    rows = rows.withColumn("odds", F.transform("margin", lambda m: F.exp(m - F.array_max("margin"))))
+    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    off = F.zip_with(
+        F.col("odds"), classes, lambda p, c: F.col("_w") * (p / F.col("total") - (c == F.col("category")).cast("double"))
+    )
+    one = F.array(F.struct(F.lit(INTERCEPT).alias("term"), F.lit(1.0).alias("weight")))
+    rows = rows.withColumn("total", total).select("_w", off.alias("off"), F.concat(F.coalesce("held", F.array().cast(T.ArrayType(_HELD))), one).alias("held"))
+    moved = rows.select("off", "_w", F.explode("held").alias("h")).groupBy("h.term").agg(
+        *[F.sum(F.col("off")[i] * F.col("h.weight")).alias(f"_g{i}") for i in range(size)]
+    )
+    # class weights make the weights of all rows sum to their number
+    held = moved.join(F.broadcast(known), "term", "right")
+    penalty = F.when(F.col("term") == INTERCEPT, F.lit(0.0)).otherwise(F.lit(1.0 / (INVERSE_REGULARISATION * n)))
+    sums = F.array(*[F.coalesce(F.col(f"_g{i}"), F.lit(0.0)) / n for i in range(size)])
+    slopes = F.arrays_zip(classes.alias("category"), F.zip_with(sums, "weights", lambda g, b: g + penalty * b).alias("gradient"))
+    return held.select("term", F.explode(slopes).alias("s")).select("s.category", "term", "s.gradient")
+
+
+_HELD = T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+
 def _idf_values(docs: list[int], n: int) -> list[float]:
     return [log((1 + n) / (1 + d)) + 1 for d in docs]
 
@@ -263,5 +327,6 @@ def train(rows: DataFrame | None = None, *, spark: SparkSession | None = None, k
     rows = stage(stratified_split(rows, "category", key).select("category", "description", "is_test"), "corpus")
     model = fit(rows.where("NOT is_test"), kind=kind)
     report = stage(class_report(model.score(rows.where("is_test"))), "report")
-    model.accuracy = round(report.agg(F.max("accuracy")).first()[0] or 0.0, 4)
+    facts = report.agg(F.max("accuracy").alias("accuracy"), F.sum("support").alias("n")).first()
+    model.accuracy, model.test_samples = round(facts["accuracy"] or 0.0, 4), facts["n"] or 0
     return model, report

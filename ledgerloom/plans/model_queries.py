@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, model
 from ..operators import labelling as lab
-from ..session import shared_folder
+from ..session import shared_folder, stage
 from .book_queries import LABELLED, NORMALIZED_SQL, entries, labelled_entries, stub_scores, _NAMES13
 from .registry import query
 
@@ -105,6 +105,37 @@ def q_logreg(spark, sf_dir):
     return report
 
 
+SPLIT_SQL = """dealt as (select txn_id, category, row_number() over (partition by category order by md5('42|' || txn_id), txn_id) as k,
+   count(*) over (partition by category) as n from labelled),
+ training as (select l.txn_id, l.category, l.description from labelled l join dealt d using (txn_id) where k > floor(n * 0.2 + 0.5))"""
+
+# Slopes of the mean loss; those of coefficients that are all zero reach some hundredths.
+FLAT = 1e-5
+
+
+@query(
+    "logreg_certificate",
+    f"""with {LABELLED}, {SPLIT_SQL}, {WORDS_SQL.replace('from labelled', 'from training')}
+   select category, term, true as optimal from (select distinct category from training), (select term from known union all select '{model.INTERCEPT}')""",
+)
+def q_certificate(spark, sf_dir):
+    """Whether the loss is flat at each coefficient: the fit is then the best there is."""
+    rows = corpus.stratified_split(labelled_texts(spark, sf_dir), "category", "txn_id").where("NOT is_test")
+    rows = stage(rows.select("txn_id", "category", "description"), "training")
+    slopes = model.gradient(model.fit(rows), rows, "txn_id")
+    return slopes.select("category", "term", (F.abs("gradient") <= FLAT).alias("optimal"))
+
+
+@query(
+    "model_facts",
+    f"""with {LABELLED}, {SPLIT_SQL}, c as (select distinct category from training)
+   select cast(row_number() over (order by category) - 1 as integer) as position, category, (select count(*) from labelled) as total_samples,
+   (select count(*) from training) as train_samples, (select count(*) from labelled) - (select count(*) from training) as test_samples from c""",
+)
+def q_facts(spark, sf_dir):
+    return q_info(spark, sf_dir).drop("accuracy")
+
+
 @query("naive_bayes_model")
 def q_nb_model(spark, sf_dir):
     _, report = _trained(spark, sf_dir, "naive_bayes")

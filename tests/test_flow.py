@@ -41,6 +41,24 @@ def test_saved_model_scores_the_same(spark, trained):
     rows = texts(spark, "petrol pump", "atm cash", "zzz")
     assert fitted.score(rows).collect() == again.score(rows).collect()
     assert again.accuracy == fitted.accuracy
+    facts = model.model_info(spark, path).first()
+    n = corpus.augment(corpus.seed_corpus(spark)).count()
+    assert facts.total_samples == n == again.train_samples + again.test_samples
+    assert 0.19 < facts.test_samples / n < 0.21 and facts.train_samples == fitted.train_samples
+
+
+def test_gradient_is_flat_at_the_fit_only(spark):
+    rows = [(i, c, f"{w} {x}") for i, (c, w, x) in enumerate(
+        [("a", "red", "one"), ("a", "red", "two"), ("b", "blue", "two"), ("c", "green", "one"), ("c", "green", "blue"), ("a", "x", "y")] * 3
+    )] + [(99, "b", "?")]
+    train = spark.createDataFrame(rows, "key long, category string, description string")
+    fitted = model.fit(train)
+    slopes = model.gradient(fitted, train, "key").collect()
+    assert len(slopes) == 3 * (len(fitted.counter.vocabulary) + 1)
+    assert max(abs(r.gradient) for r in slopes) < 1e-5
+    # the same coefficients on other rows are not the best
+    other = train.where("key <> 0")
+    assert max(abs(r.gradient) for r in model.gradient(fitted, other, "key").collect()) > 1e-3
 
 
 def test_hybrid_and_modes(spark, trained):
