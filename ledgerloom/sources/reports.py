@@ -123,11 +123,14 @@ def sheet_overview(statements: DataFrame) -> DataFrame:
 RESULT_PART_ROWS = 10_000
 
 
-def nested_result(ledger: DataFrame, statements: DataFrame, *, part_rows: int = RESULT_PART_ROWS) -> DataFrame:
+def nested_result(
+    ledger: DataFrame, statements: DataFrame, anomalies: DataFrame | None = None, *, part_rows: int = RESULT_PART_ROWS
+) -> DataFrame:
     """Nested results: account details, totals and ordered transactions of each statement.
 
     A statement longer than ``part_rows`` is split into numbered parts, so no result row (and
-    no task) has to hold a whole large statement.
+    no task) has to hold a whole large statement. ``anomalies(statement_id, row_no, anomaly)`` come
+    in the part of their row, those of no row in part 0; a part without any has an empty array.
     """
     txn = [c for c in ledger.columns if c not in ("statement_id", "block")]
     part = F.floor((F.col("row_no") - 1) / part_rows).cast("long")
@@ -135,9 +138,20 @@ def nested_result(ledger: DataFrame, statements: DataFrame, *, part_rows: int =
         F.array_sort(F.collect_list(F.struct("row_no", *[c for c in txn if c != "row_no"]))).alias("transactions")
     )
     details = [c for c in statements.columns if c != "statement_id"]
-    return statements.select("statement_id", F.struct(*details).alias("metadata")).join(
+    if anomalies is not None:
+        at = F.coalesce(F.floor((F.col("row_no") - 1) / part_rows), F.lit(0)).cast("long")
+        notes = anomalies.groupBy("statement_id", at.alias("part")).agg(
+            F.array_sort(F.collect_list(F.struct("row_no", "anomaly"))).alias("notes")
+        )
+        texts = F.transform("notes", lambda n: n["anomaly"])
+        grouped = grouped.join(notes, ["statement_id", "part"], "full").withColumn("notes", texts)
+    joined = statements.select("statement_id", F.struct(*details).alias("metadata")).join(
         grouped, "statement_id", "left"
     )
+    if anomalies is None:
+        return joined
+    none = F.array().cast("array<string>")
+    return joined.withColumn("anomalies", F.coalesce("notes", none)).drop("notes")
 
 
 def _by_statement(df: DataFrame) -> DataFrame:

@@ -103,6 +103,19 @@ def test_nested_parts(spark):
     assert got[("c", None)] is None
 
 
+def test_nested_anomalies(spark):
+    rows = spark.createDataFrame([("a", i, i) for i in range(1, 6)], "statement_id string, row_no long, v int")
+    ids = spark.createDataFrame([("a", 5), ("locked", 0), ("none", 0)], "statement_id string, n int")
+    notes = spark.createDataFrame(
+        [("a", 5, "five"), ("a", 2, "two"), ("a", 1, "one"), ("locked", None, "no way in")], "statement_id string, row_no long, anomaly string"
+    )
+    nested = reports.nested_result(rows, ids, notes, part_rows=3).collect()
+    assert {(r.statement_id, r.part): r.anomalies for r in nested} == {
+        ("a", 0): ["one", "two"], ("a", 1): ["five"], ("locked", 0): ["no way in"], ("none", None): [],
+    }
+    assert sum(len(r.transactions or []) for r in nested) == 5
+
+
 def test_malformed_json_fails(spark):
     bad = spark.createDataFrame([('{"statement_id": "x"',)], "json string")
     with pytest.raises(Exception):
@@ -132,6 +145,10 @@ def test_batch_run_writes_reports(spark, small):
     assert list(sheets) == ["account_overview", "classified_transactions", "category_breakdown", "monthly_trends"]
     overview = spark.read.parquet(f"{base}/out/report_classified/account_overview")
     assert overview.count() == 14 * result["statements"].count()
+    nested = spark.read.json(f"{base}/out/json_classified")
+    assert nested.where("transactions is not null").select(F.sum(F.size("transactions"))).first()[0] == n
+    noted = nested.select(F.explode("anomalies").alias("anomaly"))
+    assert noted.count() == result["anomalies"].count() > 0
 
 
 def test_locked_documents_leave_the_flow(spark, small):
