@@ -108,9 +108,24 @@ def _sql_urn(digest: str) -> str:
     return f"'<urn:uuid:' || {cut} || '>'"
 
 
+_NAMES = ", ".join("'{}': '{}'".format(n, v.replace("'", "''")) for n, v in warc.names().items())
+
+
+def _sql_decoded(text: str) -> str:
+    """References of a text, by the table ``signs`` of names and chr() of numbers."""
+    whole = f"regexp_extract(p, '{warc.REFERENCE}', 1)"
+    # chr() would fail on what is no character: such numbers are asked for as the replacement
+    code = f"case when {whole}[2] in ('x', 'X') then cast('0x0' || {whole}[3:] as bigint) else cast('0' || {whole}[2:] as bigint) end"
+    real = f"case when ({code}) between 1 and 55295 or ({code}) between 57344 and 1114111 then ({code}) else 65533 end"
+    number = f"case when {whole}[1] = '#' then coalesce(signs['#' || ({code})], chr(cast({real} as integer))) else signs[{whole}] end"
+    return (
+        f"(string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], "
+        f"lambda p: coalesce(case when {whole} <> '' then ({number}) || p[length({whole}) + 2:] end, '&' || p)), ''))"
+    )
+
+
 def _sql_squeezed(text: str) -> str:
-    for raw, sign in warc.ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, raw, sign.replace("'", "''"))
+    text = _sql_decoded(text)
     text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
     text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
@@ -119,7 +134,9 @@ def _sql_squeezed(text: str) -> str:
 _CR = "chr(13) || chr(10)"
 _TEXT = f"regexp_replace(regexp_replace(regexp_replace(payload, '{warc.HIDDEN}', '', 'g'), '{warc.BREAKS}', chr(10), 'g'), '{warc.TAG}', '', 'g')"
 _TITLE = f"regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '{warc.TAG}', '', 'g')"
-OP9_SQL = f"""with source as (
+_LINK = warc.LINK.replace("'", "''")
+OP9_SQL = f"""with names as (select map {{{_NAMES}}} as signs),
+source as (
  select page_id, regexp_replace(coalesce(url, ''), '[\\r\\n]+', ' ', 'g') as target_uri, coalesce(html, '') as payload from pages),
 named as (
  select *, md5('response' || chr(31) || coalesce(cast(page_id as varchar), chr(0)) || chr(31) || target_uri || chr(31) || md5(payload)) as rid,
@@ -130,10 +147,10 @@ blocks as (
    'title: ' || replace({_sql_squeezed(_TITLE)}, chr(10), ' ') || {_CR} || 'source-digest: ' || source_digest || {_CR}
    || 'source-header: HTTP/1.1 200 OK' || {_CR} || 'source-header: Content-Type: text/html; charset=utf-8' || {_CR}
    || 'source-header: Content-Length: ' || strlen(payload) || {_CR}
-   || array_to_string(list_transform(regexp_extract_all(payload, '{warc.LINK}', 1),
-       lambda x: 'outlink: ' || regexp_replace(replace(x, '&amp;', '&'), '[\\r\\n]+', ' ', 'g') || {_CR}), ''),
+   || array_to_string(list_transform(regexp_extract_all(payload, '{_LINK}', 1),
+       lambda x: 'outlink: ' || regexp_replace({_sql_decoded("regexp_replace(x, '^[\"'']|[\"'']$', '', 'g')")}, '[\\r\\n]+', ' ', 'g') || {_CR}), ''),
    {_sql_squeezed(_TEXT)}]) as block
- from named),
+ from named, names),
 ids as (
  select *, md5(warc_type || chr(31) || refers_to) as did, 'sha256:' || sha256(block) as block_digest,
   case warc_type when 'metadata' then 'application/warc-fields' else 'text/plain; charset=utf-8' end as kind from blocks)

@@ -8,6 +8,8 @@ one, so nothing is shuffled, however the responses are spread.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,63 @@ BREAKS = (
 )
 TAG = r"<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""
-# Named characters, the ampersand last.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# An anchor whose target is in double quotes, in single quotes, or in none.
+LINK = r"(?i)<a[ \t\r\n](?:[^>]*?[ \t\r\n])?href[ \t\r\n]*=[ \t\r\n]*(\"[^\"]*\"|'[^']*'|[^ \t\r\n\"'>]+)"
+REFERENCE = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+UNKNOWN_CHARACTER = "\ufffd"
+
+
+def names() -> dict[str, str]:
+    """Signs by reference without & and ;: the standard names, and numbers that stand for others.
+
+    Numbers 128 to 159 are read as Windows-1252, as browsers do; the no-break space is a space.
+    """
+    found = {name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}
+    for code in range(0x80, 0xA0):
+        sign = bytes([code]).decode("cp1252", errors="ignore")
+        if sign:
+            found[f"#{code}"] = sign
+    return {name: sign.replace("\xa0", " ") for name, sign in found.items()} | {"#160": " "}
+
+
+def _named(reference: Column) -> Column:
+    """The sign of a name, looked up among the names of its first letter."""
+    groups: dict[str, list[str]] = {}
+    for name, sign in names().items():
+        groups.setdefault(name[0], []).append(f"{name}\x1f{sign}")
+    table = [(F.lit(first), F.str_to_map(F.lit("\x1e".join(pairs)), F.lit("\x1e"), F.lit("\x1f"))) for first, pairs in groups.items()]
+    return F.element_at(F.element_at(F.create_map(*[x for pair in table for x in pair]), F.substring(reference, 1, 1)), reference)
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a code point; none such gives the replacement character."""
+    real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(real, sign).otherwise(F.lit(UNKNOWN_CHARACTER))
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters, each read once; unknown names stay as they are written."""
+
+    def sign(piece: Column) -> Column:
+        whole = F.regexp_extract(piece, REFERENCE, 1)
+        code = F.when(F.substring(whole, 2, 1).isin("x", "X"), F.conv(F.substring(whole, 3, 8), 16, 10)).otherwise(F.substring(whole, 2, 9))
+        # 0 before digits changes nothing; the table lists plain numbers
+        plain = F.when(F.substring(whole, 1, 1) == "#", F.concat(F.lit("#"), code.cast("long").cast("string"))).otherwise(whole)
+        number = F.when(F.substring(whole, 1, 1) == "#", _numbered(code.cast("long")))
+        found = F.coalesce(_named(plain), number)
+        rest = F.substr(piece, F.length(whole) + 2)
+        return F.when(whole == "", F.concat(F.lit("&"), piece)).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece)))
+
+    pieces = F.split(text, "&")
+    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), sign)
+    changed = F.concat(F.element_at(pieces, 1), F.array_join(later, ""))
+    return F.when(F.contains(text, F.lit("&")), changed).otherwise(text)
 
 
 def _squeezed(text: Column) -> Column:
     """White space between words as one space, between lines as one line break."""
-    for raw, sign in ENTITIES:
-        text = F.replace(text, F.lit(raw), F.lit(sign))
+    text = decoded(text)
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -47,9 +97,10 @@ def title(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of the links in order, as they are written apart from line breaks."""
+    """Targets of the links in order, without quotes; references are decoded, line breaks are spaces."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit("&amp;"), F.lit("&")), r"[\r\n]+", " "))
+    bare = F.transform(found, lambda x: F.regexp_replace(x, r"^[\"']|[\"']$", ""))
+    return F.transform(bare, lambda x: F.regexp_replace(decoded(x), r"[\r\n]+", " "))
 
 
 def record_id(*parts: Column) -> Column:

@@ -41,6 +41,27 @@ def test_text_links_and_digests(spark):
     assert empty["conversion"].block == "" and empty["conversion"].target_uri == ""
 
 
+def test_character_references_are_read_once(spark):
+    texts = {
+        "&copy; &middot; &eacute;&nbsp;&hellip;": "© · é …", "&#8217;&#x2019;&#X2019;&#0039;": "’’’'", "&#146;&#150;": "’–",
+        "&amp;lt; &amp;amp;": "&lt; &amp;", "&l&#116;;": "&lt;", "a & b &nosuch; &; &#; &#x; &copy": "a & b &nosuch; &; &#; &#x; &copy",
+        "&#0;&#xD800;&#1114112;&#999999999;": "\ufffd" * 4, "&#128512;&NotEqualTilde;": "😀≂̸", "&comma;&colon;&": ",:&", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in texts], "t string")
+    got = {r.t: r.d for r in rows.select("t", warc.decoded(F.col("t")).alias("d")).collect()}
+    assert got == texts
+    assert spark.createDataFrame([(None,)], "t string").select(warc.decoded(F.col("t")).alias("d")).first().d is None
+
+
+def test_links_in_all_three_forms(spark):
+    html = (
+        '<a href="/one?a=1&amp;b=2">1</a><A class=x HREF = \'/two "2"\'>2</a><a\nhref=/three id=3>3</a>'
+        '<a data-href="/not">x</a><abbr href="/not">x</abbr><a href="">empty</a><a href="/caf&eacute;\n4">4</a>'
+    )
+    got = spark.createDataFrame([(html,)], "h string").select(warc.links(F.col("h")).alias("l")).first().l
+    assert got == ["/one?a=1&b=2", '/two "2"', "/three", "", "/café 4"]
+
+
 def test_nulls_and_clashing_columns(spark):
     source = spark.createDataFrame(
         [(None, None, None, None, None, "x", 1)],
