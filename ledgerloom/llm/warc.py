@@ -8,6 +8,7 @@ one, so nothing is shuffled, however the responses are spread.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -58,23 +59,34 @@ def _numbered(code: Column) -> Column:
     return F.when(real, sign).otherwise(F.lit(UNKNOWN_CHARACTER))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decoded(text: Column) -> Column:
     """Character references as characters, each read once; unknown names stay as they are written."""
 
-    def sign(piece: Column) -> Column:
-        whole = F.regexp_extract(piece, REFERENCE, 1)
-        code = F.when(F.substring(whole, 2, 1).isin("x", "X"), F.conv(F.substring(whole, 3, 8), 16, 10)).otherwise(F.substring(whole, 2, 9))
-        # 0 before digits changes nothing; the table lists plain numbers
-        plain = F.when(F.substring(whole, 1, 1) == "#", F.concat(F.lit("#"), code.cast("long").cast("string"))).otherwise(whole)
-        number = F.when(F.substring(whole, 1, 1) == "#", _numbered(code.cast("long")))
-        found = F.coalesce(_named(plain), number)
-        rest = F.substr(piece, F.length(whole) + 2)
-        return F.when(whole == "", F.concat(F.lit("&"), piece)).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece)))
+    def code(whole: Column) -> Column:
+        hexadecimal = F.substring(whole, 2, 1).isin("x", "X")
+        return F.when(hexadecimal, F.conv(F.substring(whole, 3, 8), 16, 10)).otherwise(F.substring(whole, 2, 9)).cast("long")
+
+    def sign(whole: Column) -> Column:
+        # the table lists plain numbers, without zeros before them
+        number = _once(code(whole), lambda c: F.coalesce(_named(F.concat(F.lit("#"), c.cast("string"))), _numbered(c)))
+        return F.when(F.startswith(whole, F.lit("#")), number).when(whole != "", _named(whole))
+
+    def read(piece: Column) -> Column:
+        def put(whole: Column) -> Column:
+            rest = F.substr(piece, F.length(whole) + 2)
+            return F.coalesce(F.concat(sign(whole), rest), F.concat(F.lit("&"), piece))
+
+        return _once(F.regexp_extract(piece, REFERENCE, 1), put)
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), read), ""))
 
-    pieces = F.split(text, "&")
-    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), sign)
-    changed = F.concat(F.element_at(pieces, 1), F.array_join(later, ""))
-    return F.when(F.contains(text, F.lit("&")), changed).otherwise(text)
+    return _once(text, lambda t: F.when(F.contains(t, F.lit("&")), _once(F.split(t, "&"), joined)).otherwise(t))
 
 
 def _squeezed(text: Column) -> Column:
@@ -99,7 +111,8 @@ def title(html: Column) -> Column:
 def links(html: Column) -> Column:
     """Targets of the links in order, without quotes; references are decoded, line breaks are spaces."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
-    bare = F.transform(found, lambda x: F.regexp_replace(x, r"^[\"']|[\"']$", ""))
+    quoted = lambda x: F.startswith(x, F.lit('"')) | F.startswith(x, F.lit("'"))
+    bare = F.transform(found, lambda x: F.when(quoted(x), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x))
     return F.transform(bare, lambda x: F.regexp_replace(decoded(x), r"[\r\n]+", " "))
 
 
