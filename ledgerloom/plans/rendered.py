@@ -111,6 +111,36 @@ def tables(spark: SparkSession, sf_dir: str, layout: Column) -> DataFrame:
     return stage(_pages(rows, heads, foots), "tables")
 
 
+# Rows above a ledger that say its year over several rows; {} is the year, the others are not it.
+YEAR_ROWS = [
+    [["Statement", "", ""], ["", "Date: May", ""], ["5,", "{}", ""], ["Period 1991", "", ""]],
+    [["Opening of this", "Period", ""], ["", "branch unknown", ""], ["", "", ""], ["until", "{}", "1993"]],
+    [["", "Period\n", ""], ["1992 printed", "", ""], ["", "{} and {}", ""], ["", "", ""]],
+    [["Ending", "", ""], ["", "Balance on", ""], ["June", "3,", ""], ["", "", "{}"]],
+    [["", "", "March"], ["", "", ""], ["2,", "{}", ""], ["in 1994", "1994", ""]],
+    [["Period from May", "{}", ""], ["Period", "", ""], ["1995", "", ""], ["1995", "", ""]],
+]
+
+
+def dated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose ledger rows have days and months only; the year stands in the rows above."""
+    t = ledger(spark, sf_dir)
+    year = (1996 + F.col("statement_id") % 30).cast("string")
+    said = lambda cell: F.replace(F.lit(cell), F.lit("{}"), year)
+    heads = F.array(*[F.array(*[F.array(*[said(c) for c in row]) for row in rows]) for rows in YEAR_ROWS])
+    head = F.element_at(heads, (F.col("statement_id") % len(YEAR_ROWS) + 1).cast("int"))
+    titles = F.array(_text_row("Date", "Narration", "Paid Out", "Paid In", "Balance"))
+    line = _row(
+        F.date_format("txn_date", "dd MMM"), F.col("description"), written_money(F.col("debit")),
+        written_money(F.col("credit")), F.format_number("balance", 2),
+    )
+    rows = t.select(
+        "statement_id", page_of(F.col("row_no")).alias("table_no"), "row_no", F.array(line).alias("lines")
+    )
+    no_rows = F.array().cast("array<array<string>>")
+    return stage(_pages(rows, F.concat(head, titles), no_rows), "dated-tables")
+
+
 NOTES = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
 
 

@@ -309,3 +309,26 @@ def test_issuer_of_statements_that_are_only_scanned(spark):
     rebuilt = metadata.detect_issuers(as_pages(spark, "HDFCBANK", statement="boxes").unionByName(as_pages(spark, "HDFCBANK")))
     got = {r.statement_id: r.bank_name for r in metadata.redetect(first, rebuilt).collect()}
     assert got == {"s": "HDFC Bank", "boxes": "HDFC Bank"}
+
+
+def test_years_over_table_rows(spark):
+    def years(*all_tables, block_rows=50_000):
+        facts = tables.table_facts(as_tables(spark, *all_tables), default_year=YEAR, block_rows=block_rows)
+        return [r.statement_year for r in facts.orderBy("table_no").collect()]
+
+    row = lambda *cells: [*cells, "", "", ""][:3]
+    end = [row("12 Mar", "x", "1.00")] * 3
+    cases = [
+        [row("Date of", "Statement"), row(), row(":", "May"), row("5,"), row("2011", "2030"), *end],
+        [row("Period of"), *end, row("x 1 y"), row("ends 2012", "2013"), *end],
+        [row("Period of"), row("so\nit is 2013"), row("2014 2014"), *end],  # the line ends before a year
+        [row("Period 2015"), row("Period"), row("2016"), *end],
+        [row("Period"), row("2051"), row("Period 2016"), row("2017"), *end],  # no accepted year: patterns go on
+        [row("May"), row("one 5, 2018 a b c d e f"), row("2019", "2019"), *end],  # words stand between
+        [row("May"), row("5,", "2020"), row("May 6, 2021"), *end],
+        [row(None, "Period"), row(None), [None, None, "1\n2022"], *end],
+        [*end, *end],
+    ]
+    want = [2011, 2012, 2014, 2015, 2016, 2019, 2020, 2022, None]
+    assert years(*cases) == want
+    assert years(*cases, block_rows=2) == want
