@@ -111,6 +111,13 @@ def balance_health(ledger: DataFrame) -> DataFrame:
     return counted.withColumn("percentage", _percent(F.col("verified"), F.col("total")))
 
 
+def health_of_totals(totals: DataFrame) -> DataFrame:
+    """``balance_health`` from ``audit.audited_totals``: no row is read again."""
+    total = F.col("total_transactions")
+    counted = totals.select(STATEMENT, (total - F.col("balance_mismatches_count")).alias("verified"), total.alias("total"))
+    return counted.withColumn("percentage", _percent(F.col("verified"), F.col("total")))
+
+
 def _health_columns() -> list[Column]:
     verified = F.sum(F.coalesce(F.col("balance_verified"), F.lit(True)).cast("long"))
     return [verified.alias("verified"), F.count(F.lit(1)).alias("total")]

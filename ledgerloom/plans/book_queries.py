@@ -290,9 +290,7 @@ def q_monthly(spark, sf_dir):
    round(count(*) filter (balance_verified) * 100.0::double / count(*), 1) as percentage from audited group by 1""",
 )
 def q_health(spark, sf_dir):
-    return analytics.balance_health(audit.audit(ledger(spark, sf_dir))).select(
-        "statement_id", "verified", "total", "percentage"
-    )
+    return analytics.health_of_totals(audit.audited_totals(ledger(spark, sf_dir)))
 
 
 @query(
@@ -387,7 +385,7 @@ def q_anomalies(spark, sf_dir):
    count(*) filter (not balance_verified) as balance_mismatches_count from audited group by 1""",
 )
 def q_statement_totals(spark, sf_dir):
-    return audit.statement_totals(audited_ledger(spark, sf_dir)).select(
+    return audit.audited_totals(ledger(spark, sf_dir)).select(
         "statement_id", "total_transactions", amount("total_debits").alias("total_debits"),
         amount("total_credits").alias("total_credits"), amount("net_cash_flow").alias("net_cash_flow"),
         "balance_mismatches_count",

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import audit
+from ledgerloom.operators import analytics, audit
 from ledgerloom.operators.blocks import (
     block_by_splits, block_of, hot_splits, number_rows, scan, with_previous,
 )
@@ -81,6 +81,12 @@ def test_audit_is_the_same_in_small_blocks(spark):
     for c in ("debit", "credit", "balance"):
         df = df.withColumn(c, F.col(c).cast("decimal(18,2)"))
     whole, cut = audit.audit(df), audit.audit(df, block_rows=8)
+    totals = audit.statement_totals(whole).orderBy("statement_id").collect()
+    health = analytics.balance_health(whole).orderBy("statement_id").collect()
+    for block_rows in (8, 50_000):
+        summed = audit.audited_totals(df, block_rows=block_rows).orderBy("statement_id")
+        assert summed.drop("is_reverse").collect() == totals
+        assert analytics.health_of_totals(summed).orderBy("statement_id").collect() == health
     cols = ("statement_id", "row_no", "is_reverse", "balance_verified")
     assert rows_of(whole, *cols) == rows_of(cut, *cols)
     verdicts = {r.statement_id: r.is_reverse for r in whole.select("statement_id", "is_reverse").distinct().collect()}

@@ -51,5 +51,14 @@ def test_audit_shuffles_the_ledger_once_per_branch(spark, small):
     assert text.count("Exchange hashpartitioning(statement_id#") - text.count(", block#") <= 2
 
 
+def test_totals_of_an_audit_need_no_join(spark, small):
+    rows = spark.read.parquet(f"{small}/orders.parquet").selectExpr(
+        "o_custkey AS statement_id", "o_orderkey AS row_no", "CAST(o_totalprice AS decimal(18,2)) AS balance",
+        "CAST(0 AS decimal(18,2)) AS debit", "CAST(1 AS decimal(18,2)) AS credit",
+    )
+    text = plan(audit.audited_totals(rows))
+    assert "Join" not in text and text.count("Exchange hashpartitioning(statement_id") == 2
+
+
 def test_top_merchants_are_limited_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plan(analytics.top_merchants(labelled_entries(spark, small)))
