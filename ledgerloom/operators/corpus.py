@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import scan
+from .blocks import BLOCK_ROWS, scan
 
 # Bank names of our own for the envelopes.
 BANKS = ["HARBOUR", "MERIDIAN", "CEDAR", "LAGOON", "SUMMIT"]
@@ -112,13 +112,23 @@ def augment(seeds: DataFrame, multiplier: int = MULTIPLIER) -> DataFrame:
     return rows.withColumn("description", variant)
 
 
+def hash_digits(n: int) -> int:
+    """Hexadecimal digits that cut ``n`` rows into blocks of at most BLOCK_ROWS rows on average."""
+    digits = 1
+    while n > BLOCK_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, *, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: the same share of every label, chosen by a hash of the key.
 
-    A label may hold most rows, so its ranks are counted in blocks of hash prefixes.
+    A label may hold most rows, so its ranks are counted in blocks of hash prefixes, long enough
+    for a block to hold some BLOCK_ROWS rows however many there are.
     """
+    digits = hash_digits(rows.count())
     hashed = rows.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
-    hashed = hashed.withColumn("_block", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("long"))
+    hashed = hashed.withColumn("_block", F.conv(F.substring("_hash", 1, digits), 16, 10).cast("long"))
     one = F.lit(1).cast("long")
     ranked = scan(
         hashed, [label], ["_hash", key], block="_block", sums={"_rank": one}, whole={"_n": one}

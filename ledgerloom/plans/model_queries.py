@@ -136,10 +136,47 @@ def q_facts(spark, sf_dir):
     return q_info(spark, sf_dir).drop("accuracy")
 
 
-@query("naive_bayes_model")
+# Naive Bayes fitted on the training rows, and its margins over all narrations. Class priors are
+# smoothed like terms.
+_BAYES_SQL = f"""{SPLIT_SQL}, {WORDS_SQL.replace('from labelled', 'from training')},
+   sums as (select category, term, sum(weight) as s from weights group by 1, 2), per as (select category, sum(s) as cs from sums group by 1),
+   prior as (select category, ln(count(*) + {model.NB_SMOOTHING}) - ln((select count(*) from training) + {model.NB_SMOOTHING} * (select count(distinct category) from training)) as p
+     from training group by 1),
+   theta as (select category, term, ln(coalesce(s, 0) + {model.NB_SMOOTHING}) - ln(cs + {model.NB_SMOOTHING} * (select count(*) from known)) as t
+     from prior cross join known join per using (category) left join sums using (category, term)),
+   n2 as (select txn_id, regexp_extract_all({NORMALIZED_SQL.format(c='description')}, '\\w\\w+') as w from labelled),
+   g2 as (select txn_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from n2),
+   c2 as (select txn_id, term, count(*) as tf from g2 group by 1, 2),
+   r2 as (select txn_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + docs)) + 1) as r from c2 join known using (term), size_),
+   w2 as (select txn_id, term, r / sqrt(sum(r * r) over (partition by txn_id)) as weight from r2),
+   m2 as (select txn_id, category, sum(weight * t) as m from w2 join theta using (term) group by 1, 2),
+   margins as (select l.txn_id, p.category, p.p + coalesce(m, 0) as m from labelled l cross join prior p left join m2 on m2.txn_id = l.txn_id and m2.category = p.category),
+   tops as (select txn_id, max(m) as top from margins group by 1),
+   predicted as (select txn_id, arg_min(category, category) filter (m = top) as ml_category, round(1 / sum(exp(m - top)), 3) as ml_confidence
+     from margins join tops using (txn_id) group by 1)"""
+
+
+@query(
+    "naive_bayes_model",
+    f"""with {LABELLED}, {_BAYES_SQL}, p as (select l.category as label, ml_category as pred from labelled l join dealt d using (txn_id) join predicted using (txn_id)
+     where k <= floor(n * 0.2 + 0.5)),
+   names as (select label as c from p union select pred from p),
+   agg as (select c, count(*) filter (label = c) as support, count(*) filter (pred = c) as claimed, count(*) filter (label = c and pred = c) as hits from names, p group by 1),
+   pr as (select c, support, case when claimed > 0 then hits / claimed else 0.0 end as precision_, case when support > 0 then hits / support else 0.0 end as recall_ from agg)
+   select c as class, round(precision_, 6) as precision, round(recall_, 6) as recall,
+   round(case when precision_ + recall_ > 0 then 2 * precision_ * recall_ / (precision_ + recall_) else 0.0 end, 6) as f1, support,
+   round((select count(*) filter (label = pred) / count(*) from p), 6) as accuracy from pr""",
+)
 def q_nb_model(spark, sf_dir):
     _, report = _trained(spark, sf_dir, "naive_bayes")
-    return report
+    return report.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("predict_naive_bayes", f"with {LABELLED}, {_BAYES_SQL} select txn_id, ml_category, ml_confidence from predicted")
+def q_predict_bayes(spark, sf_dir):
+    """Every narration labelled by a model that SQL can repeat: same terms, scaling and margins as ``predict``."""
+    fitted, _ = _trained(spark, sf_dir, "naive_bayes")
+    return fitted.score(entries(spark, sf_dir)).select("txn_id", "ml_category", "ml_confidence")
 
 
 @query("predict")

@@ -9,7 +9,7 @@ from ledgerloom.operators import corpus, labelling, model
 from ledgerloom.plans import inputs
 from ledgerloom.plans.rendered import tables
 from ledgerloom.plans.rendered_headers import header_pages
-from ledgerloom.plans.statements import process, report_sheets, run_batch
+from ledgerloom.plans.statements import output_name, process, report_sheets, run_batch
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import reports, statements
 from ledgerloom.streaming.ingest import ingest_stream
@@ -129,6 +129,11 @@ def test_text_files_are_statements(spark):
     assert [(r.page_no, r.text.strip()) for r in got.orderBy("page_no").collect()] == [(1, "one"), (2, "two")]
 
 
+def test_outputs_are_named_after_the_input():
+    named = {"s3a://box/may.2024.pdf": "may.2024", "/data/in/": "in", "in": "in", "/x/.hidden": ".hidden", "file:/a/b.c/d": "d"}
+    assert {path: output_name(path) for path in named} == {path: f"{base}_classified" for path, base in named.items()}
+
+
 def test_batch_run_writes_reports(spark, small):
     base = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
     as_text = F.col("statement_id").cast("string")
@@ -138,14 +143,14 @@ def test_batch_run_writes_reports(spark, small):
     result = run_batch(spark, f"{base}/in", f"{base}/out", mode="heuristic", default_year=2024)
     n = inputs.entries(spark, small).count()
     assert result["ledger"].count() == n
-    back = spark.read.option("header", True).csv(f"{base}/out/csv_classified")
+    back = spark.read.option("header", True).csv(f"{base}/out/in_classified.csv")
     assert back.count() == n
     assert {"Date", "Description", "Debit", "Credit", "Balance", "Category"} <= set(back.columns)
     sheets = report_sheets(result)
     assert list(sheets) == ["account_overview", "classified_transactions", "category_breakdown", "monthly_trends"]
-    overview = spark.read.parquet(f"{base}/out/report_classified/account_overview")
+    overview = spark.read.parquet(f"{base}/out/in_classified/account_overview")
     assert overview.count() == 14 * result["statements"].count()
-    nested = spark.read.json(f"{base}/out/json_classified")
+    nested = spark.read.json(f"{base}/out/in_classified.json")
     assert nested.where("transactions is not null").select(F.sum(F.size("transactions"))).first()[0] == n
     noted = nested.select(F.explode("anomalies").alias("anomaly"))
     assert noted.count() == result["anomalies"].count() > 0
@@ -158,3 +163,13 @@ def test_locked_documents_leave_the_flow(spark, small):
     rows = {r.statement_id: r for r in result["statements"].where("statement_id IN ('0', '1')").collect()}
     assert {r.file_type for r in rows.values()} == {"Password-Protected PDF"}
     assert all(r.balance_mismatches_count == 1 and r.total_transactions == 0 for r in rows.values())
+
+
+def test_split_is_the_same_in_any_number_of_blocks(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id AS key", "IF(id % 3 = 0, 'hot', CAST(id % 7 AS string)) AS category")
+    want = {(r.key, r.is_test) for r in corpus.stratified_split(rows, "category", "key").collect()}
+    assert [corpus.hash_digits(n) for n in (0, 800_000, 800_001, 10**12)] == [1, 1, 2, 7]
+    monkeypatch.setattr(corpus, "BLOCK_ROWS", 2)
+    assert corpus.hash_digits(400) == 2
+    assert {(r.key, r.is_test) for r in corpus.stratified_split(rows, "category", "key").collect()} == want
+    assert corpus.stratified_split(rows.limit(0), "category", "key").count() == 0
