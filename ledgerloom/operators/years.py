@@ -11,6 +11,7 @@ from ..functions.dates import (
     FIRST_YEAR, LAST_YEAR, LONG_MONTHS, YEAR_HEAD_CHARS, YEAR_PATTERNS, YEAR_TOKEN, YEAR_WORDS, modal_year, stated_year,
     year_tokens,
 )
+from ..functions.text import let
 from .blocks import BLOCK_ROWS, block_of, number_rows, scan
 
 # The pattern that lets any text of its line stand between its keyword and the year.
@@ -97,9 +98,13 @@ def hits_over_rows(rows: DataFrame, keys: Sequence[str], *, block_rows: int = BL
     border = F.col("_at") > (home + 1) * size - ROWS_ABOVE
     near = numbered.withColumn("_in", F.explode(F.when(border, F.array(home, home + 1)).otherwise(F.array(home))))
     above = Window.partitionBy(*keys, "_in").orderBy("_at").rowsBetween(-ROWS_ABOVE, -1)
-    last_words = F.regexp_extract(text, rf"((?:\S+\s+){{0,{WORDS - 1}}}\S+)\s*$", 1)
     # a bar stands for words left out: what is above them does not go on below
-    cut = F.when(F.length(last_words) < F.length(F.trim(text)), F.concat(F.lit("| "), last_words)).otherwise(last_words)
+    cut = let(
+        F.filter(F.split(text, r"\s+"), lambda w: w != ""),
+        lambda words: F.when(F.size(words) <= WORDS, F.array_join(words, " ")).otherwise(
+            F.concat(F.lit("| "), F.array_join(F.slice(words, -WORDS, WORDS), " "))
+        ),
+    )
     joined = near.withColumn("_above", F.array_join(F.collect_list(cut).over(above), " ")).where("_in = block")
     whole = F.concat_ws(" ", F.nullif(F.col("_above"), F.lit("")), text)
     over_rows, in_row = first_hits(whole, F.col("_at")), first_hits(text, F.col("_at"))
