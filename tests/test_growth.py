@@ -15,3 +15,24 @@ def test_routes_sort_no_rows_and_broadcast_no_documents(spark):
     assert "ShuffledHashJoin" in text
     for word in ("SortMergeJoin", "BroadcastHashJoin", "Sort ["):
         assert word not in text
+
+
+def test_equal_texts_are_fitted_once(spark):
+    from ledgerloom.operators import model
+
+    rows = spark.range(600).selectExpr(
+        "element_at(array('Food', 'Rent', 'Pay'), cast(id % 3 as int) + 1) AS category",
+        "concat('NEFT ', lpad(id, 12, '0'), element_at(array(' DINNER', ' FLAT DUES', ' MONTHLY PAY'), cast(id % 3 as int) + 1), if(id % 50 = 0, ' LATE', '')) AS description",
+    )
+    texts = model.distinct_texts(rows)
+    assert texts.count() == 6 and texts.agg({model.COPIES: "sum"}).first()[0] == 600
+    bayes = model.fit(rows, kind="naive_bayes")
+    assert bayes.train_samples == 600
+    # sums of weights over all rows: every copy of the plain and of the late texts counts
+    weights = model.tfidf(rows.selectExpr("monotonically_increasing_id() AS k", "description"), "k")
+    whole = weights.agg({"weight": "sum"}).first()[0]
+    grouped = model.tfidf(texts.selectExpr("*", "monotonically_increasing_id() AS k"), "k")
+    copies = texts.selectExpr("monotonically_increasing_id() AS k", model.COPIES)
+    assert abs(grouped.join(copies, "k").selectExpr(f"sum(weight * {model.COPIES})").first()[0] - whole) < 1e-6
+    slopes = model.gradient(model.fit(rows), rows, "key").collect()
+    assert max(abs(r.gradient) for r in slopes) <= 1e-5
