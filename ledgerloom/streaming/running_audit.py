@@ -4,6 +4,10 @@ State is kept for each (statement, block of rows): which rows have come, and the
 at the edges of what has come without a gap. A row is compared with the row before it once both
 are there, whichever came last; a row that comes again adds nothing. Outcomes are appended to a
 sink, each once, and the votes of a statement are summed when they are read.
+
+Statements are many and short, so states are rows of a table, not groups of a stateful stream:
+each batch sorts its rows in behind the states of their blocks and one pass over a partition
+settles all of them. States lie in parts and versions; a batch reads and writes the parts it touches.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.audit import TOLERANCE
 from ..operators.blocks import BLOCK_ROWS, block_of
+from ..session import stage, unstage
 
 OUTCOME = "statement_id long, txn_id long, row_no long, forward boolean, reverse boolean"
-STATE = "ranges string"
+STATE = "statement_id long, block long, ranges string"
+STEP = f"{OUTCOME}, block long, ranges string"
+# Parts of the states: at most as many numbers reach the driver.
+PARTS = 256
 _GAP = Decimal(str(TOLERANCE))
 
 
@@ -80,16 +87,64 @@ def _fits(before: list, row: list) -> tuple[bool, bool]:
     return forward, reverse
 
 
-def _settle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    ranges = Ranges(state.get[0]) if state.exists else Ranges()
-    rows = [row for batch in batches for row in batch.itertuples(index=False)]
-    rows.sort(key=lambda r: r.row_no)
-    out = []
-    for r in rows:
-        values = [int(r.txn_id), *(None if x is None or x != x else x for x in (r.balance, r.debit, r.credit))]
-        out += [(int(key[0]), *found) for found in ranges.add(int(r.row_no), values, bool(r.own))]
-    state.update((ranges.text(),))
-    yield pd.DataFrame(out, columns=["statement_id", "txn_id", "row_no", "forward", "reverse"])
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes and new states of rows sorted by (statement, block, row), the old state of a block first."""
+    names = [c.split()[0] for c in STEP.split(", ")]
+    at, ranges = None, Ranges()
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if (r.statement_id, r.block) != at:
+                if at:
+                    out.append((at[0], None, None, None, None, at[1], ranges.text()))
+                at, ranges = (r.statement_id, r.block), Ranges(r.ranges if r.row_no == 0 else "[]")
+            if r.row_no > 0:
+                values = [int(r.txn_id), *(None if x is None or x != x else x for x in (r.balance, r.debit, r.credit))]
+                out += [(at[0], *found, None, None) for found in ranges.add(int(r.row_no), values, bool(r.own))]
+        yield _frame(out, names)
+    if at:
+        yield _frame([(at[0], None, None, None, None, at[1], ranges.text())], names)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def _states(spark: SparkSession, path: str, before: int, parts: list[int]) -> DataFrame:
+    """States of the given parts as the last finished batch before ``before`` left them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, tuple[int, str]] = {}
+    for version in files.listStatus(hadoop(path)) if files.exists(hadoop(path)) else []:
+        number = int(version.getPath().getName().partition("=")[2])
+        if number >= before or not files.exists(hadoop(version.getPath(), "_SUCCESS")):
+            continue
+        for entry in files.listStatus(version.getPath()):
+            name, _, part = entry.getPath().getName().partition("=")
+            if name == "_part" and int(part) in parts:
+                newest[int(part)] = max(newest.get(int(part), (-1, "")), (number, entry.getPath().toString()))
+    if not newest:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(*[p for _, p in newest.values()])
+
+
+def _settle_batch(sent: DataFrame, batch: int, sink: str, path: str) -> None:
+    """One batch; run again it replaces what it wrote."""
+    spark = sent.sparkSession
+    part = F.pmod(F.xxhash64("statement_id", "block"), F.lit(PARTS)).cast("int")
+    sent = stage(sent, "running-audit-rows")
+    touched = sorted(r[0] for r in sent.select(part).distinct().collect())
+    zero = F.lit(0).cast("long")  # rows count from 1
+    held = _states(spark, path, batch, touched).withColumns({"row_no": zero, "txn_id": zero, "own": F.lit(False)})
+    rows = sent.withColumn("ranges", F.lit(None).cast("string")).unionByName(held, allowMissingColumns=True)
+    sorted_in = rows.repartition("statement_id", "block").sortWithinPartitions("statement_id", "block", "row_no")
+    done = stage(sorted_in.mapInPandas(_settle, STEP), "running-audit")
+    outcomes = [c.split()[0] for c in OUTCOME.split(", ")]
+    done.where("ranges is null").select(*outcomes).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+    states = done.where("ranges is not null").select("statement_id", "block", "ranges", part.alias("_part"))
+    states.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/version={batch}")
+    for staged in (sent, done):
+        unstage(staged)
 
 
 def settle_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, *, schema, block_rows: int = BLOCK_ROWS) -> None:
@@ -110,13 +165,9 @@ def settle_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
         .withColumn("block", F.explode(F.when(F.col("row_no") % block_rows == 0, F.array("home", F.col("home") + 1)).otherwise(F.array("home"))))
         .withColumn("own", F.col("block") == F.col("home"))
     )
-    settled = sent.groupBy("statement_id", "block").applyInPandasWithState(
-        _settle, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout
-    )
     running = (
-        settled.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", sink)
+        sent.drop("home")
+        .writeStream.foreachBatch(lambda rows, batch: _settle_batch(rows, batch, sink, f"{checkpoint}/ranges"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

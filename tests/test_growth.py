@@ -36,3 +36,24 @@ def test_equal_texts_are_fitted_once(spark):
     assert abs(grouped.join(copies, "k").selectExpr(f"sum(weight * {model.COPIES})").first()[0] - whole) < 1e-6
     slopes = model.gradient(model.fit(rows), rows, "key").collect()
     assert max(abs(r.gradient) for r in slopes) <= 1e-5
+
+
+def test_many_statements_are_settled_without_a_group_each(spark, tmp_path):
+    from pathlib import Path
+
+    from ledgerloom.streaming import running_audit
+
+    big = 2**60 + 1
+    rows = spark.range(900).selectExpr(
+        "id % 300 AS statement_id", f"{big} + id AS txn_id", "id div 300 + 1 AS row_no",
+        *[f"CAST({v} AS decimal(18,2)) AS {c}" for c, v in (("balance", "100 + id div 300"), ("debit", 0), ("credit", 1))],
+    )
+    landing, sink, log = (f"{tmp_path}/{n}" for n in ("landing", "sink", "log"))
+    for part in ("row_no <> 2", "row_no = 2 AND statement_id <> 7", "row_no = 2 AND statement_id = 7"):
+        rows.where(part).write.mode("append").parquet(landing)
+        running_audit.settle_stream(spark, landing, sink, log, schema=rows.schema)
+    got = running_audit.verdicts(spark, sink)
+    assert got.count() == 900 and got.where("balance_verified").count() == 900
+    assert {r.txn_id for r in got.collect()} == {big + i for i in range(900)}
+    assert not Path(log, "state").exists()  # no store with a group for every statement
+    assert len(list(Path(log, "ranges", "version=2").glob("_part=*"))) == 1  # one statement: one part
