@@ -57,3 +57,15 @@ def test_many_statements_are_settled_without_a_group_each(spark, tmp_path):
     assert {r.txn_id for r in got.collect()} == {big + i for i in range(900)}
     assert not Path(log, "state").exists()  # no store with a group for every statement
     assert len(list(Path(log, "ranges", "version=2").glob("_part=*"))) == 1  # one statement: one part
+
+
+def test_a_box_is_compared_with_near_lines_only(spark):
+    from ledgerloom.operators import boxes
+
+    rows = [(1, 1, f"w{y}-{x}", float(x), float(y * 30 + x % 3), 12.0, "0.9") for y in range(20) for x in range(4)]
+    df = spark.createDataFrame(rows, "statement_id long, page_no long, text string, x double, y double, h double, score string")
+    pages = boxes.boxes_to_pages(df)
+    assert pages.first().text.split("\n") == [boxes.WORD_GAP.join(f"w{y}-{x}" for x in range(4)) for y in range(20)]
+    held = df.selectExpr("struct(y, x, h, text) AS b").groupBy().agg({"b": "collect_list"}).toDF("boxes")
+    cut = held.selectExpr("array_sort(boxes) AS boxes").selectExpr(f"transform({boxes._STRETCHES}, s -> size(s)) AS n").first().n
+    assert cut == [4] * 20
