@@ -69,3 +69,14 @@ def test_a_box_is_compared_with_near_lines_only(spark):
     held = df.selectExpr("struct(y, x, h, text) AS b").groupBy().agg({"b": "collect_list"}).toDF("boxes")
     cut = held.selectExpr("array_sort(boxes) AS boxes").selectExpr(f"transform({boxes._STRETCHES}, s -> size(s)) AS n").first().n
     assert cut == [4] * 20
+
+
+def test_amounts_and_plain_words_are_not_searched_for_dates(spark):
+    from ledgerloom.functions import dates
+
+    texts = ["1,234.56", "-12,345.67", "100.25", "UPI/000000000123/ZOMATO", "12.05", "May 3", "xmay 3", "3-4", "05 Mar 95"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and str(r[0]) for r in df.select(dates.parse_date("t", default_year=2003)["date"]).collect()]
+    assert got == [None, None, None, None, "2003-12-05", "2003-05-03", None, "2003-03-04", "1995-03-05"]
+    cheap = f"t rlike r'{dates.NO_DATE}' OR NOT (t rlike r'{dates.MONTH_BEGIN}' OR t rlike r'{dates.TWO_NUMBERS}')"
+    assert [r.c for r in df.selectExpr(f"{cheap} AS c").collect()] == [True] * 4 + [False] * 5
