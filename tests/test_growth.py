@@ -80,3 +80,15 @@ def test_amounts_and_plain_words_are_not_searched_for_dates(spark):
     assert got == [None, None, None, None, "2003-12-05", "2003-05-03", None, "2003-03-04", "1995-03-05"]
     cheap = f"t rlike r'{dates.NO_DATE}' OR NOT (t rlike r'{dates.MONTH_BEGIN}' OR t rlike r'{dates.TWO_NUMBERS}')"
     assert [r.c for r in df.selectExpr(f"{cheap} AS c").collect()] == [True] * 4 + [False] * 5
+
+
+def test_empty_cells_are_not_profiled_but_their_columns_count(spark):
+    from ledgerloom.operators import tables
+
+    cells = [["x"], ["", "01/02/2024", " ", "5.00", None], ["", "02/02/2024", "", "6.00", ""], [""]]
+    df = spark.createDataFrame([("s", 0, i + 1, c) for i, c in enumerate(cells)], "statement_id string, table_no long, row_no long, cells array<string>")
+    roles = tables.profile_columns(df, default_year=2024).first().roles
+    assert (roles.date, roles.desc, roles.balance) == (1, 3, -1)
+    empty = spark.createDataFrame([("s", 0, i + 1, ["", ""]) for i in range(3)], df.schema)
+    assert tables.profile_columns(empty, default_year=2024).first().roles.desc == 0
+    assert "posexplode" not in plan(tables.profile_columns(df, default_year=2024))
