@@ -73,7 +73,9 @@ def _masked(value: Column, radius: int) -> Column:
 def links(prints: DataFrame, radius: int = 2, *, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at most ``radius`` bits apart.
 
-    ``prints`` has one column ``fp`` of distinct longs. Radii 0 to 5 keep the balls small.
+    ``prints`` has one column ``fp`` of distinct longs. Radii 0 to 5 keep the balls small. Spark
+    sizes the lookups like the fingerprints they are made of, though there are as many for each as
+    its balls have masks: their joins sort both sides, and neither is sent to the driver.
     """
     first = radius // 2
     second = radius - first - 1
@@ -93,11 +95,11 @@ def links(prints: DataFrame, radius: int = 2, *, bucket: int = BUCKET) -> DataFr
     for e, p in zip(entries[1:], probes[1:], strict=True):
         entry, probe = entry.unionByName(e), probe.unionByName(p)
     sizes = entry.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("held"))
-    sized = probe.join(sizes, ["segment", "key"])
+    sized = probe.join(sizes.hint("merge"), ["segment", "key"])
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     scanned = (
         sized.where(F.col("held") <= bucket)
-        .join(entry, ["segment", "key"])
+        .join(entry.hint("merge"), ["segment", "key"])
         .where((F.col("a") < F.col("b")) & near)
         .select("a", "b")
     )

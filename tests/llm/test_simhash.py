@@ -103,3 +103,10 @@ def test_null_ids_and_empty_table(spark):
     assert got == [("3", "3"), ("4", "4"), ("None", "None"), ("None", "None")]
     assert sorted(str(r.doc_id) for r in s.deduplicate(docs).collect()) == ["3", "4", "None", "None"]
     assert s.with_components(docs.limit(0)).count() == 0
+
+
+def test_lookups_are_not_sent_to_the_driver(spark):
+    # Spark takes an exploded table for as small as what it was made of, however many rows it has
+    prints = s.stage(spark.range(1000).select(F.xxhash64("id").alias("fp")), "fingerprints")
+    plan = s.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [segment" in plan and "BroadcastHashJoin [segment" not in plan
